@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Bytes of a window, bytes of the two parts of a dictionary, zstandard's level.
-WINDOW, TOXIC_BYTES, SHARED_BYTES, LEVEL = 80, 4 << 10, 8 << 10, 8
+WINDOW, TOXIC_BYTES, SHARED_BYTES, LEVEL = 48, 4 << 10, 8 << 10, 8
 #: Margins below and above these count as these.
 LOW, HIGH = -3, 9
 #: About so many labelled documents of each class are used for training.
 SAMPLE = 1500
 #: Bytes of a word's beginning, least documents that have it, and times as many toxic as ordinary ones.
-STEMS, LEAST_DOCS, TIMES = (5, 6, 7, 8), 4, 8
+STEMS, LEAST_DOCS, TIMES = (5, 6, 7, 8), 4, 20
 
 
 def windows_of(text: str) -> list[bytes]:
@@ -120,7 +120,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     for own, docs in ((in_bad, bad), (in_good, good)):
         for d in docs:
             own.update(_stems(d))
-    least = max(LEAST_DOCS, len(bad) // 60)
+    least = max(LEAST_DOCS, len(bad) // 33)
     ratio = TIMES * max(1, len(bad)) / max(1, len(good))
     telling = {s for s, n in in_bad.items() if n >= least and n >= ratio * (in_good[s] + 0.25)}
     # of beginnings that continue each other, the longest that is nearly as common as the shortest
@@ -132,7 +132,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     stems = sorted(set(best.values()), key=lambda x: (in_bad[x], x))
     shared = _content([b" " + b" ".join(d.split()[i : i + 8]) for d in good for i in range(0, len(d.split()), 32)], SHARED_BYTES)
     pair = Pair(b"".join(stems)[-TOXIC_BYTES:] + shared, shared)
-    # Calibration: log ratios of the margins' frequencies, then the threshold of fewest errors, a false alarm counting as 3.
+    # Calibration: log ratios of the margins' frequencies, then the threshold of fewest errors, a false alarm counting as 2.
     kept = [x for i, x in enumerate(distinct) if i % 3 == 0] or distinct
     y = np.array([y for _, y in kept], bool)
     counts = np.array([pair.counts(t) for t, _ in kept]).reshape(len(kept), -1)
@@ -143,7 +143,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     total = counts @ pair.weights
     cuts = np.unique(total)
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else np.array([1e9])
-    errors = [3 * (~y & (total >= c)).sum() + (y & (total < c)).sum() for c in cuts]
+    errors = [2 * (~y & (total >= c)).sum() + (y & (total < c)).sum() for c in cuts]
     pair.threshold = float(cuts[int(np.argmin(errors))])
     return pair
 
