@@ -30,7 +30,7 @@ LOW, HIGH = -3, 9
 #: About so many labelled documents of each class are used for training.
 SAMPLE = 1500
 #: Bytes of a word's beginning, least documents that have it, and times as many toxic as ordinary ones.
-STEMS, LEAST_DOCS, TIMES = (5, 6, 7, 8), 4, 20
+STEMS, LEAST_DOCS, TIMES = (5, 6, 7, 8), 4, 10
 
 
 def windows_of(text: str) -> list[bytes]:
@@ -97,11 +97,12 @@ def _stems(data: bytes) -> set[bytes]:
 
 
 def _unlike(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The rows without near copies of earlier ones: two of four min-hashes of their words seen before."""
+    """The rows without near copies of earlier ones: two of four min-hashes of their three-word runs seen before."""
     seen: set[tuple[int, int]] = set()
     out = []
     for text, y in rows:
-        h = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(text.split())] or [0], np.uint32)
+        words = text.encode("utf-8", "surrogatepass").split()
+        h = np.array([zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint32)
         own = {(k, int((h * np.uint32(2654435761 + 2 * k) ^ np.uint32(k * 40503)).min())) for k in range(4)}
         if len(own & seen) < 2:
             out.append((text, y))
@@ -132,7 +133,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     stems = sorted(set(best.values()), key=lambda x: (in_bad[x], x))
     shared = _content([b" " + b" ".join(d.split()[i : i + 8]) for d in good for i in range(0, len(d.split()), 32)], SHARED_BYTES)
     pair = Pair(b"".join(stems)[-TOXIC_BYTES:] + shared, shared)
-    # Calibration: log ratios of the margins' frequencies, then the threshold of fewest errors, a false alarm counting as 2.
+    # Calibration: log ratios of the margins' frequencies, then the threshold of fewest errors, a false alarm counting as 4.
     kept = [x for i, x in enumerate(distinct) if i % 3 == 0] or distinct
     y = np.array([y for _, y in kept], bool)
     counts = np.array([pair.counts(t) for t, _ in kept]).reshape(len(kept), -1)
@@ -143,7 +144,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     total = counts @ pair.weights
     cuts = np.unique(total)
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else np.array([1e9])
-    errors = [2 * (~y & (total >= c)).sum() + (y & (total < c)).sum() for c in cuts]
+    errors = [4 * (~y & (total >= c)).sum() + (y & (total < c)).sum() for c in cuts]
     pair.threshold = float(cuts[int(np.argmin(errors))])
     return pair
 
