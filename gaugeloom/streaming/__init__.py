@@ -1,0 +1 @@
+"""Row-local and grouped operators inside a micro-batch."""
