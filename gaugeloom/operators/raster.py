@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .supersteps import grow, stored
+from .graph import components
+from .supersteps import stored
 
 #: Codes of the eight directions: east, then clockwise.
 D8 = ((0, 1, 1), (1, 1, 2), (1, 0, 4), (1, -1, 8), (0, -1, 16), (-1, -1, 32), (-1, 0, 64), (-1, 1, 128))
@@ -116,9 +117,15 @@ def corridor(path: DataFrame, width: int) -> DataFrame:
 
 
 def flood_fill(seed: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Allowed cells that a seed reaches over shared edges."""
-    start = seed.select("row", "col").join(allowed, ["row", "col"], "left_semi").distinct()
-    return grow(start, lambda f, _: _beside(f, ((0, 1), (1, 0), (0, -1), (-1, 0))).join(allowed, ["row", "col"], "left_semi"), ["row", "col"], "flood")
+    """Allowed cells that a seed reaches over shared edges: components of adjacent cells, a logarithm of their extent in rounds."""
+    key = F.shiftleft(F.col("row").cast("long"), 32) + F.col("col").cast("long")
+    cells = allowed.select("row", "col").distinct().withColumn("node", key)
+    src = cells.select(F.col("node").alias("src"), F.explode(F.array(F.struct("row", "col"), F.struct("row", (F.col("col") + 1).alias("col")), F.struct((F.col("row") + 1).alias("row"), "col"))).alias("o"))
+    edges = src.select("src", (F.shiftleft(F.col("o.row").cast("long"), 32) + F.col("o.col").cast("long")).alias("dst")).join(cells.select(F.col("node").alias("dst")), "dst", "left_semi")
+    found = stored(components(edges), "flood")
+    hit = found.join(seed.select(key.alias("node")), "node", "left_semi").select("label").distinct()
+    reached = found.join(hit, "label", "left_semi").select("node")
+    return cells.join(reached, "node", "left_semi").select("row", "col")
 
 
 def cost_surface(cells: DataFrame, threshold: float) -> DataFrame:

@@ -27,5 +27,5 @@ def grow(seed: DataFrame, step, keys: list[str], name: str, most: int = 10_000)
         new = stored(step(frontier, i).join(known.select(*keys), keys, "left_anti").dropDuplicates(keys), name)
         if new.isEmpty():
             break
-        known, frontier = stored(known.unionByName(new), name), new
+        known, frontier = known.unionByName(new), new  # each part is a table
     return known

@@ -219,7 +219,6 @@ SELECT row, col FROM fill""")(lambda s, d: raster.flood_fill(V.cells(s, d).where
 query("corridor", "cells", "SELECT DISTINCT c.row + a AS row, c.col + b AS col FROM cells c, range(-2, 3) t(a), range(-2, 3) u(b) WHERE abs(a) + abs(b) <= 2 AND c.row = c.col")(lambda s, d: raster.corridor(V.cells(s, d).where("row = col"), 2).withColumns({"row": F.col("row").cast("long"), "col": F.col("col").cast("long")}))
 query("threshold_mask", "cells", "SELECT row, col FROM cells WHERE z < 0.5 * (SELECT avg(z) FROM cells)")(lambda s, d: raster.threshold_mask(V.cells(s, d), 0.5))
 query("rain_at_stations", "cells", "SELECT CAST(p.row AS BIGINT) AS station_id, round(sum(c.z), 6) + 0.0 AS total FROM cells p JOIN cells c ON c.row BETWEEN p.row - 2 AND p.row + 1 AND c.col BETWEEN p.col - 2 AND p.col + 1 WHERE p.col = 20 GROUP BY p.row")(lambda s, d: rounded(raster.window_sums(V.cells(s, d), V.cells(s, d).where("col = 20").select(F.col("row").cast("long").alias("station_id"), "row", "col"), 2), "total"))
-query("cost_distance")(lambda s, d: rounded(raster.cost_distance(raster.cost_surface(V.cells(s, d), 0.0), V.cells(s, d).where("row % 50 = 0 and col = 0")), "dist"))
 
 # Graphs
 
