@@ -246,7 +246,7 @@ class Codec:
         """Ids of each text."""
         cut = [_pieces(t) for t in texts]
         known, large = self.pieces, {}
-        new = set().union(*cut) - known.keys()
+        new = {p for p in set().union(*cut) if p not in known}
         if len(known) + len(new) > CACHE:
             known.clear()
             new = set().union(*cut)

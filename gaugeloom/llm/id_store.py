@@ -101,8 +101,8 @@ def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.nda
             if len(later) + len(first) > CACHE:
                 later.clear()
                 first.clear()
-            learn(first, list(set(heads) - first.keys()), "")
-            learn(later, list(set().union(*cut) - later.keys()), " ")
+            learn(first, [p for p in set(heads) if p not in first], "")
+            learn(later, [p for p in set().union(*cut) if p not in later], " ")
             get = later.__getitem__
             out = [np.frombuffer(b"".join([first[h], *map(get, c)]), wide) for h, c in zip(heads, cut)]
             return out

@@ -80,7 +80,7 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     known = _WORDS
     if len(known) > 400_000:
         known.clear()
-    for w in set(words) - known.keys():
+    for w in {w for w in words if w not in known}:  # a set minus a dict's keys would go through all the keys
         known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)

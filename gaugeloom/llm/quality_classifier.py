@@ -117,7 +117,7 @@ class Scorer:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list(set().union(*docs) - known.keys())
+        new = [w for w in set().union(*docs) if w not in known]
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             ids, n = features(part)
