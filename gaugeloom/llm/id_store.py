@@ -62,8 +62,8 @@ def merkle_root(digests: list[bytes]) -> bytes:
 def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """A maker of encoders with the tokenizers library and a byte-level BPE file.
 
-    Texts are cut before single spaces between non-blank characters, where the file's pattern always
-    begins a new piece; equal pieces are encoded once and kept in a bounded cache.
+    Texts are cut before single spaces and line feeds between non-blank characters, where the file's
+    pattern always begins a new piece; equal pieces are encoded once and kept in a bounded cache.
     """
 
     def make():
@@ -79,19 +79,27 @@ def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.nda
 
         spaced = np.zeros(tok.get_vocab_size(), bool)
         spaced[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True  # tokens that begin with a space
+        broken = np.zeros(tok.get_vocab_size(), bool)
+        broken[[i for t, i in tok.get_vocab().items() if t == "\u010a"]] = True  # the line feed's own token
+        width = np.dtype(wide).itemsize
+
+        def in_a_row(known: dict[str, bytes], part: list[str], lead: str, begins: np.ndarray) -> None:
+            """Encode pieces joined: each begins with the only token in it that `begins` marks, else none is taken."""
+            for i in range(0, len(part), 2_000):
+                some = part[i : i + 2_000]
+                ids = np.array(tok.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, wide)
+                ends = np.flatnonzero(begins[ids])
+                if len(ends) == len(some) and ends[0] == 0:
+                    whole, at = ids.tobytes(), [*(ends * width).tolist(), len(ids) * width]
+                    known.update(zip(some, [whole[a:b] for a, b in zip(at, at[1:])]))
 
         def learn(known: dict[str, bytes], new: list[str], lead: str) -> None:
-            plain = [p for p in new if lead and " " not in p]
-            for i in range(0, len(plain), 2_000):  # pieces in a row: each begins with the only spaced token it has
-                part = plain[i : i + 2_000]
-                ids = np.array(tok.encode("".join([lead + p for p in part]), add_special_tokens=False).ids, wide)
-                ends = np.flatnonzero(spaced[ids])
-                if len(ends) == len(part) and ends[0] == 0:
-                    for p, x in zip(part, np.split(ids, ends[1:])):
-                        known[p] = x.tobytes()
+            if lead:
+                in_a_row(known, [p for p in new if " " not in p and "\n" not in p], lead, spaced)
+                in_a_row(known, [p for p in new if p[0] == "\n" and " " not in p and "\n" not in p[1:]], "", broken)
             for p in new:
-                if p not in known:
-                    known[p] = np.array(tok.encode(lead + p, add_special_tokens=False).ids, wide).tobytes()
+                if p not in known:  # a piece that begins with a line feed follows no space
+                    known[p] = np.array(tok.encode(p if p[:1] == "\n" else lead + p, add_special_tokens=False).ids, wide).tobytes()
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             cut = [_pieces(t) for t in texts]
@@ -119,12 +127,13 @@ _ENCODERS: dict[str, Callable] = {}
 def _pieces(text: str) -> list[str]:
     """Text cut at spaces between non-blank characters; each piece but the first has lost its space.
 
-    Where blanks meet, the file's pattern looks across, so there is no cut.
+    Where blanks meet, the file's pattern looks across, so there is no cut. In texts without such
+    places a line feed is a cut too, and stays at the beginning of its piece.
     """
-    out = text.split(" ")
     flat = text.replace("\n", " ")
     if flat.isprintable() and "  " not in flat and not flat.startswith(" ") and not flat.endswith(" "):
-        return out
+        return text.replace("\n", " \n").split(" ")
+    out = text.split(" ")
     whole = [out[0]]
     for p in out[1:]:
         before = whole[-1]
