@@ -212,7 +212,10 @@ def _join_crc(length: int, _made: dict[int, list[list[int]]] = {}) -> list[list[
             n >>= 1
         tables = []
         for k in range(4):
-            tables.append([times(result, b << 8 * k) for b in range(256)])
+            own = [0]
+            for i in range(8):  # the table is linear: each bit doubles it
+                own += [x ^ result[8 * k + i] for x in own]
+            tables.append(own)
         _made[length] = tables
     return _made[length]
 
