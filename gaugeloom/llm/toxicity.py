@@ -185,7 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         pair = train([t for _, t, _ in seen], [y for _, _, y in seen])
         yield pa.RecordBatch.from_arrays([pa.array([pair.toxic]), pa.array([pair.ordinary]), pa.array([pair.weights]), pa.array([pair.threshold])], ["toxic", "ordinary", "weights", "threshold"])
 
-    model = rows.coalesce(1).mapInArrow(fit, "toxic binary, ordinary binary, weights array<double>, threshold double").first()
+    model = rows.repartition(1).mapInArrow(fit, "toxic binary, ordinary binary, weights array<double>, threshold double").first()
     shared = spark.sparkContext.broadcast((bytes(model["toxic"]), bytes(model["ordinary"]), list(model["weights"]), model["threshold"]))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
