@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,15 @@ def ranked(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     )
 
 
+def fitted(sample: DataFrame, fit: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
+    """The one row, by name, that `fit` makes of a sample of bounded size, which meets in one task.
+
+    An empty sample may start no task at all; then the driver fits nothing.
+    """
+    row = sample.repartition(1).mapInArrow(fit, schema).first()
+    return row if row is not None else next(fit(iter(()))).to_pylist()[0]
+
+
 # Filters of a fixed size: false positives cost work, never results.
 FILTER_BITS, FILTER_HASHES, FILTER_CHUNK = 1 << 25, 3, 1 << 16
 

@@ -249,7 +249,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         field = train([t for _, t in rows])
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (field.unary, field.chain, field.skip)], ["unary", "chain", "skip"])
 
-    model = some.repartition(1).mapInArrow(fit, "unary binary, chain binary, skip binary").first()
+    model = C.fitted(some, fit, "unary binary, chain binary, skip binary")
     shared = spark.sparkContext.broadcast([bytes(model[k]) for k in ("unary", "chain", "skip")])
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,7 +147,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         model = train([t for _, t, _ in seen], [y for _, _, y in seen])
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in model], ["vectors", "out", "bias"])
 
-    model = rows.repartition(1).mapInArrow(fit, "vectors binary, out binary, bias binary").first()
+    model = C.fitted(rows, fit, "vectors binary, out binary, bias binary")
     shared = spark.sparkContext.broadcast([bytes(model[k]) for k in ("vectors", "out", "bias")])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

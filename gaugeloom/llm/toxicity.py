@@ -136,7 +136,7 @@ def train(texts: list[str], toxic: list[int]) -> Pair:
     # Calibration: log ratios of the margins' frequencies, then the threshold of fewest errors, a false alarm counting as 4.
     kept = [x for i, x in enumerate(distinct) if i % 3 == 0] or distinct
     y = np.array([y for _, y in kept], bool)
-    counts = np.array([pair.counts(t) for t, _ in kept]).reshape(len(kept), -1)
+    counts = np.array([pair.counts(t) for t, _ in kept]).reshape(len(kept), HIGH - LOW + 1)
     shares = [(counts[side] / np.maximum(1, counts[side].sum(axis=1, keepdims=True))).sum(axis=0) + 0.1 for side in (y, ~y)]
     ratio = np.log(shares[0] / shares[0].sum()) - np.log(shares[1] / shares[1].sum())
     ratio[: 1 - LOW] = np.log(shares[0][: 1 - LOW].sum() / shares[0].sum()) - np.log(shares[1][: 1 - LOW].sum() / shares[1].sum())  # no saving at all
@@ -185,7 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         pair = train([t for _, t, _ in seen], [y for _, _, y in seen])
         yield pa.RecordBatch.from_arrays([pa.array([pair.toxic]), pa.array([pair.ordinary]), pa.array([pair.weights]), pa.array([pair.threshold])], ["toxic", "ordinary", "weights", "threshold"])
 
-    model = rows.repartition(1).mapInArrow(fit, "toxic binary, ordinary binary, weights array<double>, threshold double").first()
+    model = C.fitted(rows, fit, "toxic binary, ordinary binary, weights array<double>, threshold double")
     shared = spark.sparkContext.broadcast((bytes(model["toxic"]), bytes(model["ordinary"]), list(model["weights"]), model["threshold"]))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
