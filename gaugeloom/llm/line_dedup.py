@@ -45,7 +45,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     covered = again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("starts"))
     covered = C.stored(covered, "line-covered").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     own = docs.select(F.col(id_col).alias("doc_id"), C.text_of(text_col).alias("text"), F.xxhash64(C.text_of(text_col)).alias("__own"))
-    joined = own.join(covered, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
+    # covered grows with the table: merged at every size, never broadcast
+    joined = own.join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     split = F.split("text", "\n")
     hit = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + lines - 1))))
     joined = joined.withColumn("__lines", split).withColumn("__hit", F.when(F.col("starts").isNotNull(), hit))
