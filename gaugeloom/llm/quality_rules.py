@@ -17,12 +17,17 @@ from pyspark.sql.window import Window
 from . import common as C
 
 SYMBOLS = "#*$%&|<>"
-#: Share of a group that the estimate rests on, concentration steps, least documents of a group.
-SUPPORT, STEPS, LEAST = 0.75, 3, 200
-#: Squared distance from which a document is rejected (scaled so that the median is the chi-square's with 5 degrees).
-CUTOFF, CHI2_MEDIAN = 60.0, 4.351
-#: A statistic's deviation counts as at least this, so that a statistic that hardly varies can't reject by itself.
-FLOORS = (0.40, 0.35, 0.25, 0.30, 0.30)
+#: Share of a group that the estimate rests on, most concentration steps, least documents of a group.
+SUPPORT, STEPS, LEAST = 0.75, 10, 200
+#: Squared distance from which a document is rejected: the chi-square's 99 % quantile with 5 degrees.
+CUTOFF = 15.086
+#: Medians of the chi-square with 1 to 5 degrees. Distances are scaled to the one with as many degrees as
+#: a group has statistics that vary by more than their floors.
+CHI2_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567, 4.3515)
+CHI2_MEDIAN = CHI2_MEDIANS[0]
+#: Added to the deviations. Word length has a ridge against singular scatter only. The others are 0 in nearly all
+#: clean documents, so their inner scatter is 0 and says nothing of the rest: these have fixed scales (see README).
+FLOORS = (0.01, 0.35, 0.50, 0.35, 0.35)
 D = len(FLOORS)
 
 
@@ -82,7 +87,8 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """groups (key, m, s: covariance) with the Cholesky factor l of the scatter, deviations raised to their floors."""
+    """groups (key, m, s: covariance) with the Cholesky factor l of the scatter, floors added; det, its diagonal's product; varying."""
+    groups = groups.withColumn("varying", sum(((F.col(f"s{i}{i}") > FLOORS[i] ** 2).cast("int") for i in range(D)), F.lit(0)))
     for i in range(D):
         groups = groups.withColumn(f"s{i}{i}", F.col(f"s{i}{i}") + FLOORS[i] ** 2)
     for i in range(D):
@@ -91,7 +97,13 @@ def _factor(groups: DataFrame) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}{j}"))
-    return groups.select("key", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+    det = F.lit(1.0)
+    for i in range(D):
+        det = det * F.col(f"l{i}{i}")
+    return groups.withColumn("det", det)
+
+
+ESTIMATE = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i in range(D) for j in range(i + 1)] + ["det", "varying"]
 
 
 def _binned(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -103,7 +115,7 @@ def _binned(rows: DataFrame, groups: DataFrame) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(f"c{i}").alias(f"t{i}") for i in range(D)]
     sums += [F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"t{i}{j}") for i in range(D) for j in range(i + 1)]
-    sums += [F.first(f"m{i}").alias(f"m{i}") for i in range(D)]
+    sums += [F.first(c).alias(c) for c in ESTIMATE]
     return near.groupBy("key", "bin").agg(*sums)
 
 
@@ -111,28 +123,35 @@ def mcd(rows: DataFrame) -> DataFrame:
     """Location, Cholesky factor and scale of each key's rows (key, x0 .. x4), a row a key.
 
     The start is the medians with the squared median deviations; each step takes the nearest SUPPORT
-    of a group and estimates again. The determinant can only fall, up to the rounding of distances.
+    of a group and estimates again. Steps end when no group's determinant changes any more, at
+    STEPS otherwise: as distances are rounded, a group can alternate between shares that differ by few rows.
     """
     med = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(D)])
     start = {f"m{i}": F.col(f"q{i}")[1] for i in range(D)}
     start |= {f"s{i}{j}": F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) * 0.7413, F.lit(2)) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)}
-    groups = C.stored(_factor(med.withColumns(start)), "mcd-start")
+    # the start is no estimate from a share of the rows: its determinant doesn't count
+    groups = C.stored(_factor(med.withColumns(start)).withColumn("det", F.lit(float("inf"))).select("key", *ESTIMATE), "mcd-start")
     inside = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("key")
+    still = False
     for step in range(STEPS + 1):
         bins = C.stored(_binned(rows, groups), "mcd-bins")
         bins = bins.withColumns({"below": F.coalesce(F.sum("n").over(inside), F.lit(0)), "all": F.sum("n").over(whole)})
-        if step == STEPS:
+        if step == STEPS or still:
             break
         kept = bins.where(F.col("below") < F.col("all") * SUPPORT)
-        total = kept.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(f"m{i}").alias(f"o{i}") for i in range(D)], *[F.sum(f"t{i}").alias(f"t{i}") for i in range(D)], *[F.sum(f"t{i}{j}").alias(f"t{i}{j}") for i in range(D) for j in range(i + 1)])
-        new = {f"m{i}": F.col(f"o{i}") + F.col(f"t{i}") / F.col("n") for i in range(D)}
+        total = kept.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(f"old_{c}") for c in ESTIMATE], *[F.sum(f"t{i}").alias(f"t{i}") for i in range(D)], *[F.sum(f"t{i}{j}").alias(f"t{i}{j}") for i in range(D) for j in range(i + 1)])
+        new = {f"m{i}": F.col(f"old_m{i}") + F.col(f"t{i}") / F.col("n") for i in range(D)}
         new |= {f"s{i}{j}": F.col(f"t{i}{j}") / F.col("n") - F.col(f"t{i}") * F.col(f"t{j}") / (F.col("n") * F.col("n")) for i in range(D) for j in range(i + 1)}
-        groups = C.stored(_factor(total.withColumns(new)), "mcd-step")
-    # the estimate is of the group's inner part: distances are scaled so that their median is the chi-square's
-    half = bins.where(F.col("below") < F.col("all") * 0.5).groupBy("key").agg(F.max("bin").alias("bin"), F.max("all").alias("n"))
-    scale = half.select("key", F.greatest((F.exp((F.col("bin") + 1) / 20) - 0.01) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"), "n")
-    return C.stored(groups.join(scale, "key"), "mcd-groups")
+        moved = C.stored(_factor(total.withColumns(new)).select("key", *ESTIMATE, "old_det"), "mcd-step")
+        still = moved.where(F.abs(F.col("det") / F.col("old_det") - 1) > 1e-9).isEmpty()
+        groups = moved.drop("old_det")
+    # the estimate is of the group's inner part: distances are scaled, up or down, so that their median is the chi-square's
+    half = bins.where(F.col("below") < F.col("all") * 0.5).groupBy("key").agg(F.max("bin").alias("bin"), F.max("all").alias("n"), F.first("varying").alias("v"))
+    median = F.exp((F.col("bin") + 1) / 20) - 0.01
+    # fixed scales alone (nothing varies) have no median to meet
+    scale = half.select("key", F.when(F.col("v") > 0, median / F.array(*[F.lit(x) for x in CHI2_MEDIANS])[F.col("v") - 1]).otherwise(1.0).alias("scale"), "n")
+    return C.stored(groups.drop("det", "varying").join(scale, "key"), "mcd-groups")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

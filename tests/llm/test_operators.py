@@ -206,6 +206,17 @@ def test_quality_rules(spark, docs, odd, none):
     assert left.columns == docs.columns and left.count() == sum(r.kept for r in quality_rules.quality_rules(docs).collect())
 
 
+def test_quality_rules_covariance(spark):
+    """Scatter decides: word length far out for its group, and odd symbols far below the former cutoff, are rejected."""
+    rng = random.Random(4)
+    text = lambda size, i: " ".join("".join(rng.choice("abcdefghij") for _ in range(size + rng.randrange(3))) for _ in range(80))
+    rows = [(i, text(5, i)) for i in range(300)] + [(1000 + i, text(9, i)) for i in range(3)]
+    rows += [(2000 + i, " ".join(w + "#" if k % 4 else w for k, w in enumerate(text(5, i).split()))) for i in range(3)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i].kept for i in (1000, 1001, 1002, 2000, 2001, 2002))
+    assert sum(got[i].kept for i in range(300)) >= 290
+
+
 # 6
 
 
