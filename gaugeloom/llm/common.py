@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,11 +32,10 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -56,6 +54,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows a table of groups is broadcast.
+FEW_ROWS, SALTS = 20_000, 64
+
+
+def is_small(groups: DataFrame, few_rows: int = FEW_ROWS) -> bool:
+    return groups.limit(few_rows + 1).count() <= few_rows
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """rows joined with a stored table of one row a group, or a few.
+
+    The table is counted, unless the caller has: it is broadcast up to FEW_ROWS; beyond that its rows are
+    repeated over SALTS salts, so that a group of very many rows is spread over as many tasks.
+    """
+    if is_small(groups) if small is None else small:
+        return rows.join(F.broadcast(groups), key, how)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", salt).join(spread.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
 def ranked(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """df with `before`: the sum of `value` over all rows that come earlier in the order (nulls last).
 
@@ -166,3 +185,22 @@ def maybe_in(spark: SparkSession, bits: bytes, key: Column) -> Column:
         return pa.array(probe(np.frombuffer(shared.value, np.uint8), own) & known)
 
     return maybe(key.cast("long"))
+
+
+def split_by_id(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose id is surely not in `ids` (column doc_id), and the others.
+
+    What few rows of ids concern can so be found without a shuffle of all texts.
+    """
+    bits = key_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h")
+    hit = maybe_in(docs.sparkSession, bits, F.xxhash64(docs[id_col]))
+    return docs.where(~hit), docs.where(hit)
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows of the given (doc_id, text_hash), hashes being xxhash64 of the text."""
+    rest, some = split_by_id(docs, id_col, dropped)
+    gone = dropped.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    some = some.select(F.struct("*").alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(text_of(text_col)).alias("__own_hash"))
+    left = some.join(gone.hint("merge"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_anti")
+    return rest.unionByName(left.select("__row.*"))

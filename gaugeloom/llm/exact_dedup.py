@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
@@ -182,18 +183,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns.
 
     A row is found again by doc_id and the normalised text's digest; of rows that repeat both, the
-    one with the most code points stays.
+    one with the most code points stays. Only rows that share a doc_id with a dropped one are
+    shuffled, so most texts stay where they are read.
     """
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("group_size").alias("__n"))
-    sha = F.sha2(F.translate(C.text_of(options.get("text_col", "text")), C.BLANKS, ""), 256)
-    id_col = options.get("id_col", "doc_id")
-    joined = docs.withColumn("__own", sha).join(kept, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__sha")))
-    # Only rows of a group of two or more can repeat both; they are few, and each pair of doc_id and digest is one row but for repeated rows.
-    from pyspark.sql.window import Window
-
-    first = Window.partitionBy("__id", "__sha").orderBy(F.length(C.text_of(options.get("text_col", "text"))).desc())
-    return joined.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").select(*[docs[c] for c in docs.columns])
+    told = exact_dedup(docs, id_col, text_col, **options).where("group_size > 1").groupBy("doc_id", "text_sha256")
+    told = told.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    told = C.stored(told, "exact-told")
+    rest, some = C.split_by_id(docs, id_col, told)
+    text = C.text_of(text_col)
+    some = some.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.sha2(F.translate(text, C.BLANKS, ""), 256).alias("__sha"), F.length(text).alias("__points"))
+    joined = some.join(told.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__sha") == F.col("text_sha256")), "left")
+    first = Window.partitionBy("__id", "__sha").orderBy(F.col("__points").desc())
+    repeated = F.coalesce(F.col("kept"), F.lit(False))  # kept, but in more rows than one
+    one = joined.where(repeated).withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return rest.unionByName(joined.where(F.col("n").isNull()).select("__row.*")).unionByName(one.select("__row.*"))

@@ -65,7 +65,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     stats = C.stored(stats, "mix-sources")
     targets = source_targets(stats.select("source", "source_size")).select(F.col("source").alias("s"), "target")
     stats = C.stored(stats.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s"), "mix-targets")
-    joined = placed.join(stats, F.col("source").eqNullSafe(F.col("s")))
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    stats = C.stored(stats.withColumn("key", F.coalesce(F.concat(F.lit("="), "s"), F.lit("null"))).drop("s"), "mix-keys")
+    joined = C.join_groups(placed.withColumn("key", key), stats, "key")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     nth = (F.col("rank") - F.col("first")).cast("double")
     start = offset_of(F.col("source"), seed)
@@ -75,15 +77,25 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents as the plan takes them, with all their columns: each row as often as it has copies."""
+    """The documents as the plan takes them, with all their columns: each row as often as it has copies.
+
+    Copies of rows that repeat doc_id and text all come from one of these rows. Texts are shuffled
+    once, to meet their copies; nothing is sorted or ranked with them but by that join.
+    """
     plan = mix_plan(docs, id_col, text_col, **options)
-    same = Window.partitionBy("__id", "__hash").orderBy(F.col("__copies").desc())
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("copies").alias("__copies")).withColumn("__nth", F.row_number().over(same))
-    nth = Window.partitionBy("__own_id", "__own_hash").orderBy("__own_hash")
-    own = docs.withColumns({"__own_id": F.col(id_col), "__own_hash": F.xxhash64(C.text_of(text_col))}).withColumn("__own_nth", F.row_number().over(nth))
-    on = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")) & (F.col("__own_nth") == F.col("__nth"))
-    taken = own.join(plan.where("__copies > 0"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return taken.select(*[F.col(c) for c in docs.columns])
+    plan = C.stored(plan.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0"), "mix-copies")
+    on = F.col("__own_id").eqNullSafe(F.col("doc_id")) & (F.col("__own_hash") == F.col("text_hash"))
+
+    def own(rows: DataFrame) -> DataFrame:
+        return rows.select(F.struct("*").alias("__row"), F.col(id_col).alias("__own_id"), F.xxhash64(C.text_of(text_col)).alias("__own_hash"))
+
+    taken = own(docs).join(plan.where("n = 1").hint("merge"), on).select("__row", "copies")
+    again = plan.where("n > 1")
+    if not again.isEmpty():
+        rows = own(C.split_by_id(docs, id_col, again)[1]).join(again.hint("merge"), on)
+        one = rows.groupBy("doc_id", "text_hash").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"), F.first("copies").alias("copies"))
+        taken = taken.unionByName(one.select("__row", "copies"))
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")
 
 
 ORACLE_SQL = r"""
