@@ -21,17 +21,18 @@ from .toxicity import held_out, labelled
 
 #: Hash buckets, dimensions, lengths of n-grams in bytes (of the word between < and >), words remembered.
 BUCKETS, DIM, GRAMS, CACHE = 1 << 15, 8, (2, 3, 4, 5), 600_000
-#: Longer words are cut: each piece is a word.
-WORD_BYTES = 40
+#: Longer words are cut: each piece is a word. AGAIN is no word of a text.
+WORD_BYTES, AGAIN = 40, b"\x00again"
 #: About so many labelled documents of each class are used; epochs, documents of a batch, rate.
 SAMPLE, EPOCHS, BATCH, RATE = 1500, 4, 32, 4.0
 
 
 def words_of(text: str) -> list[bytes]:
+    """The words; one that repeats the word before it is AGAIN, so that repetition has a vector of its own."""
     words = text.encode("utf-8", "surrogatepass").split()
-    if max(map(len, words), default=0) <= WORD_BYTES:
-        return words
-    return [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+    if max(map(len, words), default=0) > WORD_BYTES:
+        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+    return [AGAIN if w == last else w for last, w in zip([b"", *words], words)]
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
