@@ -1,12 +1,13 @@
 """BPE encoding and decoding by an index of pair occurrences.
 
-The distinct words of a block of texts are laid out as one sequence of symbols. Each pair of
+The distinct words of a partition (of each block of a large one) are laid out as one sequence of symbols. Each pair of
 neighbouring symbols maps to all its positions; active merge ranks are taken in ascending order, and
 a merge updates the lists of the pairs beside it. A word is encoded once, however often it occurs.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Distinct words laid out at once, and distinct pieces of text that a worker remembers.
-BLOCK_WORDS, CACHE = 100_000, 500_000
+#: Distinct words laid out at once, distinct pieces of text that a worker remembers, and bytes of text of a block.
+BLOCK_WORDS, CACHE, BLOCK_BYTES = 400_000, 600_000, 48 << 20
+EMPTY = hashlib.sha256(b"").hexdigest()
 #: From so many places on, a rank is merged with numpy.
 MANY = 40
 
 #: Pieces of these characters split and lower-case alike in Python and in the library.
 COMMON = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-COMMON_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+COMMON_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ\n]+")
 #: The splitting rule that COMMON_WORDS stands for, as vocabulary files state it.
 COMMON_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Byte-level vocabularies write the n-th byte that isn't printable as the character 256 + n.
@@ -61,37 +63,46 @@ class PairIndex:
         pairs = np.array(self.pair, np.int64)
         order = np.argsort(pairs)
         self.sorted_pairs, self.sorted_ranks = pairs[order], order
+        self.single, self.final = self._table(""), self._table(suffix)
+
+    def _table(self, suffix: str) -> np.ndarray:
+        """Ids by code point of characters, with the suffix; -1 where there is none, as at the last place."""
+        found = {ord(t[0]): i for t, i in self.vocab.items() if t[1:] == suffix and t}
+        out = np.full(max(found, default=0) + 2, -1, np.int64)
+        out[list(found)] = list(found.values())
+        return out
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word. Symbols that the vocabulary lacks are dropped, as the library does without an unknown token."""
-        vocab, suffix, size, rank = self.vocab, self.suffix, self.size, self.rank
-        sym: list[int] = []
-        word: list[int] = []
-        for w, text in enumerate(words):
-            if text:
-                ids = [vocab.get(c, -1) for c in text[:-1]]
-                ids.append(vocab.get(text[-1] + suffix, -1))
-                ids = [i for i in ids if i >= 0]
-                sym += ids
-                word += [w] * len(ids)
-        n = len(sym)
+        ids, ends = self.encode_flat(words)
+        ids = ids.tolist()
+        return [ids[x:y] for x, y in zip([0, *ends], ends)]
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all words in a row, and where each word's end."""
+        size = self.size
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        w = np.repeat(np.arange(len(words)), lengths)
+        s = self.single[np.minimum(chars, len(self.single) - 1)]
+        last = np.cumsum(lengths)[lengths > 0] - 1
+        s[last] = self.final[np.minimum(chars[last], len(self.final) - 1)]
+        s, w = s[s >= 0], w[s >= 0]
+        n = len(s)
         if not n:
-            return [[] for _ in words]
+            return s, [0] * len(words)
         # The index: for each active rank, the positions of its pair's first symbol, found by one sort over all pairs.
-        s, w = np.array(sym, np.int64), np.array(word, np.int64)
         keys = np.where(w[1:] == w[:-1], s[:-1] * size + s[1:], -1)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        ranks = np.array([rank.get(k, -1) for k in distinct.tolist()], np.int64)[inverse]
+        near = np.minimum(np.searchsorted(self.sorted_pairs, keys), len(self.sorted_pairs) - 1)
+        ranks = np.where(self.sorted_pairs[near] == keys, self.sorted_ranks[near], -1)
         live = np.flatnonzero(ranks >= 0)
         live = live[np.argsort(ranks[live], kind="stable")]
         places: dict[int, list[int]] = {}
         edges = np.flatnonzero(np.diff(ranks[live])) + 1
         for part in np.split(live, edges) if len(live) else []:
             places[int(ranks[part[0]])] = part.tolist()
-        word.append(-1)
-        sym.append(-1)
         # left[n] and right[n] close the sequence; arrays, so that numpy sees the same memory
-        sym_a, word_a = array("q", sym), array("q", word)
+        sym_a, word_a = array("q", np.append(s, -1).tobytes()), array("q", np.append(w, -1).tobytes())
         left_a, right_a = array("q", range(-1, n)), array("q", range(1, n + 2))
         views = [np.frombuffer(x, np.int64) for x in (sym_a, word_a, left_a, right_a)]
         heap = list(places)
@@ -112,12 +123,9 @@ class PairIndex:
                 else:
                     places[q] = more
                     heapq.heappush(heap, q)
-        sym = sym_a
-        out: list[list[int]] = [[] for _ in words]
-        for i in range(n):
-            if sym[i] >= 0:
-                out[word[i]].append(sym[i])
-        return out
+        sym, word = views[0][:n], views[1][:n]
+        counts = np.bincount(word[sym >= 0], minlength=len(words))
+        return sym[sym >= 0], np.cumsum(counts).tolist()
 
     def _merge_few(self, r: int, a: int, b: int, at: list[int], sym, word, left, right) -> list[tuple[int, list[int]]]:
         """Merge rank r at the places given, left to right; gives the (rank, places) that come up beside it."""
@@ -213,60 +221,116 @@ class Codec:
         self.names = [""] * (max(self.token) + 1)
         for i, t in self.token.items():
             self.names[i] = t
-        self.digits = [str(i) for i in range(len(self.names))]
+        self.names = [t + " " for t in self.names]
+        self.digits = [f"{i} " for i in range(len(self.names))]
         self.wide = np.uint16 if len(self.names) <= 1 << 16 else np.uint32
-        self.pieces: dict[str, bytes] = {}
+        # What is known: pieces, words as split from common pieces, and words that the library split. Values: n, ids, ids as text, tokens.
+        self.pieces: dict[str, Told] = {}
+        self.words: tuple[dict[str, Told], dict[str, Told]] = {}, {}
         splits = [x.get("pattern", {}).get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", [])]
         self.common = COMMON_RULE in splits and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
 
-    def _words(self, text: str) -> list[str]:
-        if self.common and COMMON.fullmatch(text):
-            found = COMMON_WORDS.findall(text.lower())
-            return found if text.isascii() else [w.encode().decode("latin-1").translate(BYTE_NAMES) for w in found]
-        text = self.normalizer.normalize_str(text) if self.normalizer else text
-        return [w for w, _ in self.splitter.pre_tokenize_str(text)]
+    def _words(self, pieces: list[str]) -> list[tuple[bool, list[str]]]:
+        """The words of each piece, and whether they are still in plain letters (else as the library gives them)."""
+        out: list[tuple[bool, list[str]] | None] = [None] * len(pieces)
+        at = [i for i, p in enumerate(pieces) if COMMON.fullmatch(p)] if self.common else []
+        found = COMMON_WORDS.findall("\n".join([pieces[i] for i in at]).lower())
+        begin = 0
+        for i in at:
+            try:
+                end = found.index("\n", begin)
+            except ValueError:
+                end = len(found)
+            out[i] = True, found[begin:end]
+            begin = end + 1
+        for i, p in enumerate(pieces):
+            if out[i] is None:
+                text = self.normalizer.normalize_str(p) if self.normalizer else p
+                out[i] = False, [w for w, _ in self.splitter.pre_tokenize_str(text)]
+        return out
+
+    def _learn_words(self, words: list[str], plain: bool) -> None:
+        known = self.words[not plain]
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        digits, names = self.digits, self.names
+        for i in range(0, len(new), BLOCK_WORDS):
+            block = new[i : i + BLOCK_WORDS]
+            named = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_NAMES) for w in block] if plain else block
+            flat, ends = self.index.encode_flat(named)
+            raw, width, ids = flat.astype(self.wide).tobytes(), np.dtype(self.wide).itemsize, flat.tolist()
+            begin = 0
+            for w, end in zip(block, ends):
+                own = ids[begin:end]
+                known[w] = end - begin, raw[begin * width : end * width], "".join([digits[k] for k in own]).encode(), "".join([names[k] for k in own]).encode()
+                begin = end
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False): without a decoder, tokens joined by a space."""
-        tokens = list(map(self.names.__getitem__, ids))
+        tokens = [self.names[i][:-1] for i in ids]
         return self.decoder.decode(tokens) if self.decoder else " ".join(tokens)
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct pieces; a special token within one is one id."""
-        cut = {p: [x for x in (self.special_at.split(p) if self.special_at and "<" in p else [p]) if x] for p in pieces}
-        words = {p: [x if x in self.special else self._words(x) for x in c] for p, c in cut.items()}
-        distinct = list({w for c in words.values() for x in c if not isinstance(x, str) for w in x})
-        ids: dict[str, list[int]] = {}
-        for i in range(0, len(distinct), BLOCK_WORDS):
-            block = distinct[i : i + BLOCK_WORDS]
-            ids.update(zip(block, self.index.encode(block)))
-        return {p: [i for x in c for i in ([self.special[x]] if isinstance(x, str) else [j for w in x for j in ids[w]])] for p, c in words.items()}
+    def _learn(self, cut: list[list[str]]) -> Callable[[str], Told]:
+        """Encode what is new in the pieces of a block of texts; gives what is known of a piece."""
+        known, large = self.pieces, {}
+        every = set().union(*cut)
+        new = [p for p in every if p not in known]
+        if len(known) + len(new) > CACHE:  # what this block doesn't need goes
+            self.pieces = known = {p: known[p] for p in every if p in known}
+            for w in self.words:
+                w.clear()
+        odd = [p for p in new if self.special_at and "<" in p and self.special_at.search(p)]
+        plain = [p for p in new if not (self.special_at and "<" in p and self.special_at.search(p))] if odd else new
+        for i in range(0, len(plain), BLOCK_WORDS):
+            part = plain[i : i + BLOCK_WORDS]
+            words = self._words(part)
+            for kind in (True, False):
+                self._learn_words([w for k, ws in words if k is kind for w in ws], kind)
+            for p, (kind, ws) in zip(part, words):
+                told = self.words[not kind]
+                (known if len(p) <= 200 else large)[p] = told[ws[0]] if len(ws) == 1 else _together([told[w] for w in ws])
+        for p in odd:  # a special token within a piece is one id
+            parts = []
+            for x in self.special_at.split(p):
+                if x in self.special:
+                    i = self.special[x]
+                    parts.append((1, np.array([i], self.wide).tobytes(), self.digits[i].encode(), self.names[i].encode()))
+                elif x:
+                    [(kind, ws)] = self._words([x])
+                    self._learn_words(ws, kind)
+                    parts += [self.words[not kind][w] for w in ws]
+            large[p] = _together(parts)
+        return known.__getitem__ if not large else lambda p: large[p] if p in large else known[p]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         cut = [_pieces(t) for t in texts]
-        known, large = self.pieces, {}
-        new = {p for p in set().union(*cut) if p not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*cut)
-        for ids_of in map(self.encode_pieces, _blocks(list(new))):
-            for p, ids in ids_of.items():
-                (known if len(p) <= 200 else large)[p] = np.array(ids, self.wide).tobytes()
-        get = known.__getitem__ if not large else lambda p: known[p] if p in known else large[p]
-        return [np.frombuffer(b"".join(map(get, c)), self.wide).tolist() for c in cut]
+        get = self._learn(cut)
+        return [np.frombuffer(b"".join([get(p)[1] for p in c]), self.wide).tolist() for c in cut]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, SHA-256 of the ids as text, SHA-256 of the decoded text) of each text."""
-        out, digits = [], self.digits.__getitem__
-        for ids in self.encode(texts):
-            out.append((len(ids), hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()))
+        cut = [_pieces(t) for t in texts]
+        get, out = self._learn(cut), []
+        for c in cut:
+            rows = [r for r in map(get, c) if r[0]]
+            if not rows:
+                out.append((0, EMPTY, EMPTY))
+                continue
+            n, ids, ids_text, tokens = zip(*rows)
+            decoded = b"".join(tokens)[:-1] if self.decoder is None else self.decode(np.frombuffer(b"".join(ids), self.wide).tolist()).encode()
+            out.append((sum(n), hashlib.sha256(b"".join(ids_text)[:-1]).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
 
-def _blocks(pieces: list[str]) -> Iterator[list[str]]:
-    for i in range(0, len(pieces), 2 * BLOCK_WORDS):
-        yield pieces[i : i + 2 * BLOCK_WORDS]
+#: n, ids, ids as text, tokens: the last two with a space after each.
+Told = tuple[int, bytes, bytes, bytes]
+
+
+def _together(parts: list[Told]) -> Told:
+    if not parts:
+        return 0, b"", b"", b""
+    n, ids, text, tokens = zip(*parts)
+    return sum(n), b"".join(ids), b"".join(text), b"".join(tokens)
 
 
 #: A worker keeps a file's codec, with what it knows, from task to task.
@@ -275,6 +339,7 @@ _CODECS: dict[str, Codec] = {}
 
 def codec(path: str) -> Codec:
     if path not in _CODECS:
+        gc.disable()  # what a worker remembers has no cycles, and looking for some takes longer than encoding
         _CODECS[path] = Codec(path)
     return _CODECS[path]
 
@@ -284,10 +349,23 @@ def _pieces(text: str) -> list[str]:
     return [p for p in text.replace("\n", " ").split(" ") if p]
 
 
-def _worker(path: str, id_type: pa.DataType) -> Callable:
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a partition together, as long as they hold no more than BLOCK_BYTES."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _worker(path: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in batches:
+        for b in _gathered(batches):
             if b.num_rows:
                 rows = list(zip(*own.digests(b.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -305,7 +383,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     C.bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), C.text_of(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_worker(path, None), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(_worker(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
