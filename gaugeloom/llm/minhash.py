@@ -273,16 +273,14 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     labels = C.stored(nodes.select("id", F.col("id").alias("label")), "cc-labels")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        near = C.stored(near, "cc-near")
         hooked = labels.join(near, labels.id == near.a, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("next"), "label")
         hooked = C.stored(hooked, "cc-hooked")
         # a root that a neighbour's label undercuts passes that on to all that carry it
-        roots = C.stored(hooked.groupBy("label").agg(F.min("next").alias("root")), "cc-roots")
-        jumped = hooked.join(roots.withColumnRenamed("label", "at"), F.col("label") == F.col("at")).select("id", F.least("next", "root").alias("next"), "label")
-        jumped = C.stored(jumped, "cc-merged")
-        ahead = jumped.select(F.col("id").alias("at"), F.col("next").alias("further"))
-        jumped = C.stored(jumped.join(ahead, F.col("next") == F.col("at")).select("id", F.least("next", "further").alias("next"), "label"), "cc-jumped")
-        if jumped.where("next <> label").limit(1).count() == 0:
+        roots = hooked.groupBy(F.col("label").alias("at")).agg(F.min("next").alias("root"))
+        merged = C.stored(hooked.join(roots, F.col("label") == F.col("at")).select("id", F.least("next", "root").alias("next"), "label"), "cc-merged")
+        ahead = merged.select(F.col("id").alias("at"), F.col("next").alias("further"))
+        jumped = C.stored(merged.join(ahead, F.col("next") == F.col("at")).select("id", F.least("next", "further").alias("next"), "label"), "cc-jumped")
+        if jumped.where("next <> label").isEmpty():
             return jumped.select("id", "label")
         labels = jumped.select("id", F.col("next").alias("label"))
 
