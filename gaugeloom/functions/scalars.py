@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,33 @@ def correlation(kind: str, h: Column, reach: float) -> Column:
     if kind == "spherical":
         return F.when(u <= 1, 1 - 1.5 * u + 0.5 * u * u * u).otherwise(F.lit(0.0))
     raise ValueError(f"unknown correlation {kind}")
+
+
+#: The alphabet of geohashes: a fixed value.
+BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
+
+
+def geohash(lat: Column, lon: Column, chars: int = 12) -> Column:
+    """Halvings of the globe, longitude first, five bits a character."""
+    n = chars * 5
+    x = F.least(F.floor((lon + 180) / 360 * 2 ** ((n + 1) // 2)), F.lit(2 ** ((n + 1) // 2) - 1))
+    y = F.least(F.floor((lat + 90) / 180 * 2 ** (n // 2)), F.lit(2 ** (n // 2) - 1))
+    out = []
+    for c in range(chars):
+        value = F.lit(0).cast("long")
+        for p in range(5 * c, 5 * c + 5):  # bit p, from the left
+            side, left = (y, n // 2 - 1 - p // 2) if p % 2 else (x, (n + 1) // 2 - 1 - p // 2)
+            value = value * 2 + F.shiftright(side, left) % 2
+        out.append(F.substr(F.lit(BASE32), (value + 1).cast("int"), F.lit(1)))
+    return F.concat(*out)
+
+
+def geohash_features(hashed: Column, drop: int = 2) -> Column:
+    """The hash without its first characters, each as its place in the alphabet over 31."""
+    return F.transform(F.split(F.substr(hashed, F.lit(drop + 1)), ""), lambda c: (F.instr(F.lit(BASE32), c) - 1) / 31)
+
+
+def meters_to_degrees(meters: Column, lat: Column) -> Column:
+    """Degrees of latitude and of longitude that so many metres are, at a latitude."""
+    north = meters / (EARTH_KM * 1000) * 180 / math.pi
+    return F.struct(north.alias("lat"), (north / F.cos(F.radians(lat))).alias("lon"))

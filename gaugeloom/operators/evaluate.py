@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .supersteps import globally_ranked, stored
+
 
 def errors(pred: DataFrame) -> DataFrame:
     return pred.withColumns({"se": F.pow(F.col("out") - F.col("tgt"), 2), "gain": F.col("tgt") - F.col("out")})
@@ -120,20 +122,23 @@ def t_p_value(t: float, dof: int) -> float:
 
 
 def adjust_p(tests: DataFrame, how: str = "holm") -> DataFrame:
-    """Adjusted p over all tests (a row a test): holm, bonferroni or fdr_bh."""
-    order = Window.orderBy("p", "test")
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    i = F.row_number().over(order)
-    ranked = tests.withColumns({"m": m, "i": i})
+    """Adjusted p over all tests (a row a test): holm, bonferroni or fdr_bh. Running extremes go part by part, and over the parts' own."""
+    tests = stored(tests, "tests")
+    m = tests.count()
     if how == "bonferroni":
-        v = F.col("p") * F.col("m")
-    elif how == "holm":
-        v = F.max(F.col("p") * (F.col("m") - F.col("i") + 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    elif how == "fdr_bh":
-        v = F.min(F.col("p") * F.col("m") / F.col("i")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    else:
+        return tests.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * m))
+    if how not in ("holm", "fdr_bh"):
         raise ValueError(f"unknown correction {how}")
-    return ranked.withColumn("p_adj", F.least(F.lit(1.0), v)).drop("m", "i")
+    ranked = globally_ranked(tests, [F.col("p"), F.col("test")], "tests-ranked")
+    down = how == "fdr_bh"
+    best = F.min if down else F.max
+    ranked = stored(ranked.withColumn("v", F.col("p") * m / F.col("rank") if down else F.col("p") * (m - F.col("rank") + 1)), "tests-ranked")
+    side = (1, Window.unboundedFollowing) if down else (Window.unboundedPreceding, -1)
+    parts = ranked.groupBy("part").agg(best("v").alias("v")).select("part", best("v").over(Window.orderBy("part").rowsBetween(*side)).alias("beyond"))
+    order = Window.partitionBy("part").orderBy("rank")
+    run = best("v").over(order.rowsBetween(0, Window.unboundedFollowing) if down else order.rowsBetween(Window.unboundedPreceding, 0))
+    both = F.least("run", "beyond") if down else F.greatest("run", "beyond")  # nulls don't count
+    return ranked.withColumn("run", run).join(F.broadcast(parts), "part").withColumn("p_adj", F.least(F.lit(1.0), both)).select("test", "p", "p_adj")  # parts: one row a part
 
 
 def station_bin_rmse(pred: DataFrame, low: float, high: float) -> DataFrame:
@@ -206,6 +211,25 @@ PERCENTS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 
 def percentile_summary(df: DataFrame, col: str) -> DataFrame:
-    p = F.percentile(col, F.array(*map(F.lit, PERCENTS)))
-    out = df.agg(F.count(F.lit(1)).alias("total"), F.count(col).alias("valid"), p.alias("p"))
-    return out.select("total", "valid", (F.col("valid") / F.col("total")).alias("ratio"), *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(PERCENTS)])
+    """Counts and percentiles (linear between neighbours) of a column. Values are ranked by range; only the rows beside the percentiles are picked."""
+    total, valid = df.agg(F.count(F.lit(1)), F.count(col)).first()
+    ranked = globally_ranked(df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v")), [F.col("v")], "percentiles")
+    at = [q * (valid - 1) for q in PERCENTS]
+    wanted = {int(x) + k for x in at for k in (1, 2)}
+    picked = {f"v{r}": F.max(F.when(F.col("rank") == r, F.col("v"))) for r in sorted(wanted)}
+    out = ranked.where(F.col("rank").isin(sorted(wanted))).agg(*[v.alias(k) for k, v in picked.items()])
+    between = [F.col(f"v{int(x) + 1}") + (F.coalesce(f"v{int(x) + 2}", f"v{int(x) + 1}") - F.col(f"v{int(x) + 1}")) * (x - int(x)) for x in at]
+    ratio = F.lit(valid / total if total else None).cast("double")
+    return out.select(F.lit(total).cast("long").alias("total"), F.lit(valid).cast("long").alias("valid"), ratio.alias("ratio"), *[v.alias(f"p{round(100 * q)}") for v, q in zip(between, PERCENTS)])
+
+
+def masked_mse(pred: DataFrame) -> DataFrame:
+    """Mean over stations of the mean squared error where mask is 0, by method."""
+    own = pred.where("mask = 0").groupBy("method", "station_id").agg(F.avg(F.pow(F.col("out") - F.col("tgt"), F.lit(2))).alias("mse"))
+    return own.groupBy("method").agg(F.avg("mse").alias("mse"))
+
+
+def paired_ttest_p(pred: DataFrame, a: str, b: str) -> DataFrame:
+    """paired_ttest with the two-sided p of each bin: as many rows as bins."""
+    p = F.udf(lambda t, n: None if t is None or n < 2 else t_p_value(t, n - 1), "double")
+    return paired_ttest(pred, a, b).withColumn("p", p("t", "n"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .supersteps import stored
+from ..functions.scalars import ecef, point_segment_km
+from .supersteps import globally_ranked, stored
 
 
 def _in_cells(df: DataFrame, cell: float) -> DataFrame:
@@ -141,3 +142,24 @@ def align_methods(pred: DataFrame, a: str, b: str) -> DataFrame:
     y = pred.where(F.col("method") == b).select("station_id", "pos", F.col("out").alias("out_b"))
     n = pred.where(F.col("method").isin(a, b)).groupBy("station_id").pivot("method", [a, b]).count()
     return x.join(y, ["station_id", "pos"]).join(n.where(F.col(a) == F.col(b)), "station_id", "left_semi")
+
+
+def order_by_coord_sum(stations: DataFrame) -> DataFrame:
+    """station_id and its place in the order of lat + lon, from 0."""
+    ranked = globally_ranked(stations.select("station_id", (F.col("lat") + F.col("lon")).alias("s")), [F.col("s"), F.col("station_id")], "coord-sum")
+    return ranked.select("station_id", (F.col("rank") - 1).alias("ord"))
+
+
+def line_within(points: DataFrame, lines: DataFrame, buffer_km: float, cell: float = 0.05) -> DataFrame:
+    """The nearest line (line_id, km) within a buffer of each point, null where there is none.
+
+    Segments (line_id, lat1, lon1, lat2, lon2) lie in all grid cells that their box, widened by the
+    buffer, touches; a point meets only the segments of its own cell. Widths are for latitudes up to 60.
+    """
+    wide = buffer_km / 55.0
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - wide) / cell), F.floor((F.greatest(a, b) + wide) / cell))
+    segments = lines.withColumn("cx", F.explode(span("lon1", "lon2"))).withColumn("cy", F.explode(span("lat1", "lat2")))
+    near = _in_cells(points.select("station_id", "lat", "lon"), cell).join(segments, ["cx", "cy"])
+    km = point_segment_km(ecef(F.col("lat"), F.col("lon")), ecef(F.col("lat1"), F.col("lon1")), ecef(F.col("lat2"), F.col("lon2")))
+    best = near.withColumn("km", km).where(F.col("km") <= buffer_km).groupBy("station_id").agg(F.min(F.struct("km", "line_id")).alias("b"))
+    return points.select("station_id").join(best, "station_id", "left").select("station_id", "b.line_id", "b.km")

@@ -152,3 +152,34 @@ def line_cells(lines: DataFrame) -> DataFrame:
     wide = lines.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(0), n)))
     at = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("seq") / F.col("n") + 0.5).cast("int")
     return wide.select("id", "seq", at("r0", "r1").alias("row"), at("c0", "c1").alias("col"))
+
+
+def affine_to_cell(points: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
+    """Row and column of each point (lon, lat) by the inverse of an affine transform, rounded down."""
+    return points.withColumns({"row": F.floor((F.col("lat") - y0) / dy).cast("int"), "col": F.floor((F.col("lon") - x0) / dx).cast("int")})
+
+
+def cell_to_gps(cells: DataFrame, x0: float, y0: float, dx: float, dy: float) -> DataFrame:
+    """lon and lat of each cell's centre."""
+    return cells.withColumns({"lon": x0 + (F.col("col") + 0.5) * dx, "lat": y0 + (F.col("row") + 0.5) * dy})
+
+
+def mosaic(tiles: DataFrame, f: int) -> DataFrame:
+    """Means of f x f blocks of each tile (tile, row, col, z) on one coarse grid; where tiles overlap, the last tile counts."""
+    coarse = tiles.where("z is not null").groupBy("tile", F.floor(F.col("row") / f).cast("int").alias("row"), F.floor(F.col("col") / f).cast("int").alias("col")).agg(F.avg("z").alias("z"))
+    return coarse.groupBy("row", "col").agg(F.max_by("z", "tile").alias("z"))
+
+
+def sample_along(path: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values of the cells on each path (id, seq, row, col); places outside the grid go."""
+    return path.join(cells.select("row", "col", "z"), ["row", "col"]).select("id", "seq", "z")
+
+
+def edge_profile(path: DataFrame, cells: DataFrame, slope: DataFrame) -> DataFrame:
+    """Elevation and slope along each path: mean, std, min, max and median of z, mean slope, difference of the end's z, -1 where nothing is known."""
+    along = path.select("id", "seq", "row", "col").join(cells.select("row", "col", "z"), ["row", "col"], "left").join(slope.select("row", "col", "slope"), ["row", "col"], "left")
+    out = along.groupBy("id").agg(
+        F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.min("z").alias("min"), F.max("z").alias("max"), F.median("z").alias("median"), F.avg("slope").alias("slope"),
+        (F.max_by("z", F.when(F.col("z").isNotNull(), F.col("seq"))) - F.min_by("z", F.when(F.col("z").isNotNull(), F.col("seq")))).alias("dz"),
+    )
+    return out.select("id", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("mean", "std", "min", "max", "median", "slope", "dz")])

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir (a temporary one only where it is unset) and read it back."""
+    """Write df to the folder of spark.checkpoint.dir and read it back."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{root.rstrip('/')}/rounds/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -29,3 +29,17 @@ def grow(seed: DataFrame, step, keys: list[str], name: str, most: int = 10_000)
             break
         known, frontier = known.unionByName(new), new  # each part is a table
     return known
+
+
+def globally_ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with rank, from 1 in the given order, and part, the number of its range.
+
+    Rows are dealt by range and numbered inside; only one count a part meets in one task.
+    """
+    own = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = stored(own.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), name)
+    counts = own.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("part", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("seq"))
+    return own.withColumn("inside", inside).join(F.broadcast(counts), "part").withColumn("rank", F.col("before") + F.col("inside")).drop("seq", "inside", "before")  # counts: one row a part

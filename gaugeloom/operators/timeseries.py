@@ -115,3 +115,63 @@ def lagged_corr_gate(water: DataFrame, rain: DataFrame, max_lag: int = 24, least
     c = both.groupBy("station_id", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("value", "r").alias("c")).where(F.col("n") >= overlap)
     best = F.max(F.abs(F.coalesce(F.col("c"), F.lit(0.0))))
     return c.groupBy("station_id").agg(best.alias("best")).withColumn("gate", least + (1 - least) * F.pow("best", F.lit(power)))
+
+
+def fir_table(series: DataFrame, weights: DataFrame) -> DataFrame:
+    """y[t] = sum over k of w[t, k] * x[t - K + 1 + k], zeros on the left. weights: station_id, pos, w (an array of K)."""
+    x = weights.select("station_id", F.col("pos").alias("at"), F.posexplode("w").alias("k", "w"), F.size("w").alias("n"))
+    x = x.select("station_id", "at", "w", (F.col("at") - F.col("n") + 1 + F.col("k")).alias("pos"))
+    y = x.join(series, ["station_id", "pos"]).groupBy("station_id", F.col("at").alias("pos")).agg(F.sum(F.col("w") * F.col("value")).alias("y"))
+    return series.join(y, ["station_id", "pos"], "left").select("station_id", "pos", F.coalesce("y", F.lit(0.0)).alias("value"))
+
+
+def sliding_windows(series: DataFrame, length: int, step: int) -> DataFrame:
+    """Whole windows over each station's positions, from 0 in steps: station_id, win, pos, value."""
+    own = Window.partitionBy("station_id")
+    n = series.withColumn("n", F.max("pos").over(own) + 1)
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("pos") - length + 1) / step)), F.floor(F.col("pos") / step)
+    wide = n.where(first <= last).withColumn("win", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return wide.where(F.col("win") * step + length <= F.col("n")).select("station_id", "win", "pos", "value")
+
+
+def savgol_trend(series: DataFrame, share: float = 0.15) -> DataFrame:
+    """Local quadratic trend over a window of that share of the series, made odd; the first and last half take the fit of the outermost window.
+
+    A series is one row of a bounded length here, and each place a sum over its window.
+    """
+    rows = series.groupBy("station_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("y"))
+    half = F.greatest(F.lit(1), F.floor(F.floor(F.size("y") * share) / 2)).cast("int")
+    rows = rows.withColumn("h", half).where(F.size("y") >= 2 * F.col("h") + 1)
+    h = F.col("h").cast("double")
+    s0, s2 = 2 * h + 1, h * (h + 1) * (2 * h + 1) / 3
+    s4 = s2 * (3 * h * h + 3 * h - 1) / 5
+
+    def fitted(y: Column, t: Column) -> Column:
+        start = F.least(F.greatest(t - F.col("h"), F.lit(0)), F.size("y") - 2 * F.col("h") - 1)
+        u = F.transform(F.slice(F.col("y"), start + 1, 2 * F.col("h") + 1), lambda v, i: F.struct(v.alias("v"), (i - F.col("h")).cast("double").alias("u")))
+        total = lambda f: F.aggregate(u, F.lit(0.0), lambda acc, p: acc + f(p))
+        y0, y1, y2 = total(lambda p: p["v"]), total(lambda p: p["u"] * p["v"]), total(lambda p: p["u"] * p["u"] * p["v"])
+        at = (t - start - F.col("h")).cast("double")
+        a2 = (s0 * y2 - s2 * y0) / (s0 * s4 - s2 * s2)
+        return (y0 - a2 * s2) / s0 + y1 / s2 * at + a2 * at * at
+
+    trend = F.transform(F.sequence(F.lit(0), F.size("y") - 1), lambda t: fitted(F.col("y"), t))
+    return rows.select("station_id", F.posexplode(trend).alias("pos", "trend"))
+
+
+def fluctuation_score(series: DataFrame, share: float = 0.15, length: int = 16, crossings: float = 0.1, scatter: float = 0.5) -> DataFrame:
+    """Half the share of energy that the trend leaves, and half the share of half-overlapping windows of the rest that cross zero often and vary much."""
+    r = series.join(savgol_trend(series, share), ["station_id", "pos"]).withColumn("rest", F.col("value") - F.col("trend"))
+    whole = r.groupBy("station_id").agg(F.coalesce(F.try_divide(F.sum(F.pow("rest", F.lit(2))), F.sum(F.pow("value", F.lit(2)))), F.lit(0.0)).alias("energy"), F.stddev_pop("rest").alias("std"))
+    w = sliding_windows(r.select("station_id", "pos", F.col("rest").alias("value")), length, length // 2)
+    before = F.lag("value").over(Window.partitionBy("station_id", "win").orderBy("pos"))
+    w = w.withColumn("cross", F.coalesce((F.signum("value") != F.signum(before)).cast("int"), F.lit(0)))
+    w = w.groupBy("station_id", "win").agg((F.sum("cross") / (length - 1)).alias("rate"), F.stddev_pop("value").alias("own"))
+    lively = w.join(whole, "station_id").groupBy("station_id").agg(F.avg(((F.col("rate") > crossings) & (F.col("own") > scatter * F.col("std"))).cast("double")).alias("lively"))
+    return whole.join(lively, "station_id", "left").select("station_id", (0.5 * F.col("energy") + 0.5 * F.coalesce("lively", F.lit(0.0))).alias("score"))
+
+
+def gated_loss(pred: DataFrame, gate: DataFrame) -> DataFrame:
+    """Sum of gate times squared error over the sum of gates, by method. gate: station_id, gate."""
+    p = pred.join(gate, "station_id")
+    return p.groupBy("method").agg((F.sum(F.col("gate") * F.pow(F.col("out") - F.col("tgt"), F.lit(2))) / F.sum("gate")).alias("loss"))
