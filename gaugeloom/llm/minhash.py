@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -209,15 +210,16 @@ def _possible(percent: int):
 def _links(percent: int):
     """Rows (key, tile, home, two, node, label, shingles) to a forest of links between components: fewer than nodes.
 
-    An inverted index over the right side's shingles gives the sizes of all of a node's intersections at once.
+    An inverted index over the tile's shingles gives the sizes of all of a node's intersections at once.
+    Of two nodes of different components, one isn't in the tile's most common component: only such nodes
+    are looked up, until they belong to it.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _by_tile(batches, ["home", "two", "node", "label", "shingles"]):
-            if (sides := _sides(group)) is None:
-                continue
-            left, right = sides
             up = {g[3]: g[3] for g in group}
+            if len(up) < 2:
+                continue
 
             def root(x):
                 while up[x] != x:
@@ -225,27 +227,23 @@ def _links(percent: int):
                     x = up[x]
                 return x
 
-            sets = [np.frombuffer(g[4], np.uint64) for g in right]
+            main = Counter(g[3] for g in group).most_common(1)[0][0]
+            sets = [np.frombuffer(g[4], np.uint64) for g in group]
             size = np.array([len(x) for x in sets], np.int64)
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             out = []
-            for i, g in enumerate(left):
-                own = np.frombuffer(g[4], np.uint64)
-                mine = root(g[3])
-                if not any(root(r[3]) != mine for r in right):
+            for g, own in zip(group, sets):
+                if root(g[3]) == root(main):
                     continue
                 low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-                both = np.zeros(len(right), np.int64)
-                for a, b in zip(low[high > low].tolist(), high[high > low].tolist()):
-                    both[owner[a:b]] += 1  # a shingle is once in a set
-                near = 100 * both >= percent * (size + len(own) - both)
-                for k in np.flatnonzero(near).tolist():
-                    x, y = root(g[3]), root(right[k][3])
+                both = np.bincount(np.concatenate([owner[a:b] for a, b in zip(low.tolist(), high.tolist())]), minlength=len(group))
+                for k in np.flatnonzero(100 * both >= percent * (size + len(own) - both)).tolist():
+                    x, y = root(g[3]), root(group[k][3])
                     if x != y:
                         up[y] = x
-                        out.append((g[2], right[k][2]) if g[2] < right[k][2] else (right[k][2], g[2]))
+                        out.append((g[2], group[k][2]) if g[2] < group[k][2] else (group[k][2], g[2]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
 
