@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Distinct words laid out at once, distinct pieces of text that a worker remembers, and bytes of text of a block.
-BLOCK_WORDS, CACHE, BLOCK_BYTES = 400_000, 600_000, 48 << 20
+BLOCK_WORDS, CACHE, BLOCK_BYTES = 400_000, 300_000, 16 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: From so many places on, a rank is merged with numpy.
 MANY = 40
@@ -269,10 +269,9 @@ class Codec:
         tokens = [self.names[i][:-1] for i in ids]
         return self.decoder.decode(tokens) if self.decoder else " ".join(tokens)
 
-    def _learn(self, cut: list[list[str]]) -> Callable[[str], Told]:
-        """Encode what is new in the pieces of a block of texts; gives what is known of a piece."""
+    def learn(self, every: set[str]) -> Callable[[str], Told]:
+        """Encode what is new in the distinct pieces of a block of texts; gives what is known of a piece."""
         known, large = self.pieces, {}
-        every = set().union(*cut)
         new = [p for p in every if p not in known]
         if len(known) + len(new) > CACHE:  # what this block doesn't need goes
             self.pieces = known = {p: known[p] for p in every if p in known}
@@ -304,15 +303,14 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         cut = [_pieces(t) for t in texts]
-        get = self._learn(cut)
+        get = self.learn(set().union(*cut))
         return [np.frombuffer(b"".join([get(p)[1] for p in c]), self.wide).tolist() for c in cut]
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(n_tokens, SHA-256 of the ids as text, SHA-256 of the decoded text) of each text."""
-        cut = [_pieces(t) for t in texts]
-        get, out = self._learn(cut), []
-        for c in cut:
-            rows = [r for r in map(get, c) if r[0]]
+    def digests(self, texts: Iterable[str], get: Callable[[str], Told]) -> list[tuple[int, str, str]]:
+        """(n_tokens, SHA-256 of the ids as text, SHA-256 of the decoded text) of each text, from what is known of their pieces."""
+        out = []
+        for text in texts:
+            rows = [r for r in map(get, _pieces(text)) if r[0]]
             if not rows:
                 out.append((0, EMPTY, EMPTY))
                 continue
@@ -349,26 +347,36 @@ def _pieces(text: str) -> list[str]:
     return [p for p in text.replace("\n", " ").split(" ") if p]
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """Batches of a partition together, as long as they hold no more than BLOCK_BYTES."""
     held, size = [], 0
     for b in batches:
         if held and size + b.nbytes > BLOCK_BYTES:
-            yield pa.concat_batches(held)
+            yield held
             held, size = [], 0
         held.append(b)
         size += b.nbytes
     if held:
-        yield pa.concat_batches(held)
+        yield held
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[str]:
+    return (t.as_py() for t in batch.column(1))
 
 
 def _worker(path: str) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for b in _gathered(batches):
-            if b.num_rows:
-                rows = list(zip(*own.digests(b.column(1).to_pylist())))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for block in _gathered(batches):
+            every: set[str] = set()
+            for b in block:  # a block's texts are cut twice: its pieces, one by one, would take more room than the texts
+                for text in _texts(b):
+                    every.update(_pieces(text))
+            get = own.learn(every)
+            for b in block:
+                if b.num_rows:
+                    rows = list(zip(*own.digests(_texts(b), get)))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 

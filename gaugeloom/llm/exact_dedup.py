@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 #: Bytes of text that a memtable holds before it is flushed, and runs that a first compaction merges.
-MEMTABLE_BYTES, FAN_IN = 48 << 20, 32
+MEMTABLE_BYTES, FAN_IN = 16 << 20, 32
 
 
 def _better(a: tuple, b: tuple) -> bool:
