@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalars
 from gaugeloom.operators import clean, evaluate, graph, interp, joins, raster, timeseries
-from gaugeloom.plans import queries
+from gaugeloom.plans import more, queries  # noqa: F401  more registers its queries
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +116,22 @@ def test_scalars(spark):
         scalars.coord_pair(F.lit("(1.5, -2)")).alias("c"), scalars.decimal_comma(F.lit("12,34")).alias("n"), scalars.decimal_comma(F.lit("")).alias("e"),
     ).first()
     assert abs(row.d - 55.6) < 0.2 and tuple(row.c) == (1.5, -2.0) and row.n == 12.34 and row.e is None
+
+
+def test_paired_ttest_p(spark):
+    """Two-sided p against values from a table of Student's t."""
+    for t, dof, p in ((2.228, 10, 0.05), (1.812, 10, 0.1), (2.0, 1000000, 0.0455)):
+        assert abs(evaluate.t_p_value(t, dof) - p) < 5e-4
+    rows = [("a", 1, i, 0.1, 0.1 + d) for i, d in enumerate((0.3, 0.1, 0.2, 0.25))] + [("b", 1, i, 0.1, 0.1) for i in range(4)]
+    [got] = evaluate.paired_ttest_p(spark.createDataFrame(rows, "method string, station_id long, pos long, tgt double, out double"), "a", "b").collect()
+    assert abs(got.p - evaluate.t_p_value(got.t, 3)) < 1e-12 and 0 < got.p < 0.05
+
+
+def test_split_by_cluster(spark):
+    """Each station has one role, and a training cluster's neighbours train too."""
+    from gaugeloom.operators import samples
+
+    st = spark.createDataFrame([(i, 50.0 + i % 4, 4.0 + i % 3) for i in range(60)], "station_id long, lat double, lon double")
+    nb = spark.createDataFrame([(i, (i + 1) % 60) for i in range(60)], "station_id long, nb_id long")
+    got = {r.station_id: r.role for r in samples.split_by_cluster(st, nb, 6, 3, 1).collect()}
+    assert len(got) == 60 and set(got.values()) == {"train", "test"}
