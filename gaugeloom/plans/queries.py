@@ -133,8 +133,17 @@ SELECT station_id, round(max(v) - min(v), 6) AS span, max(v) - min(v) > 0.2 AS s
 query("spike_runs", "series med", """, mad AS (SELECT station_id, median(d) AS mad FROM dev GROUP BY ALL), z AS (SELECT dev.station_id, pos, pos - row_number() OVER (PARTITION BY dev.station_id ORDER BY pos) AS island FROM dev JOIN mad USING (station_id) WHERE d / (mad + 1e-8) > 2.5)
 SELECT station_id, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS length FROM z GROUP BY station_id, island""")(lambda s, d: clean.spike_runs(V.series(s, d), 2.5))
 query("suppress_spikes")(lambda s, d: rounded(clean.suppress_spikes(V.series(s, d), 2.5), "value"))
-query("eligible_stations", "stations nb readings weeks", """, r AS (SELECT station_id FROM weeks GROUP BY ALL HAVING count(*) >= 4)
-SELECT station_id FROM r WHERE station_id IN (SELECT station_id FROM nb) AND station_id NOT IN (SELECT station_id FROM nb WHERE nb_id NOT IN (SELECT station_id FROM r))""")(lambda s, d: clean.eligible_stations(weeks(s, d), neighbors(s, d), 4))
+# Among stations with readings, the neighbours of one are the next two by id.
+NEXT = "rn AS (SELECT a.station_id, b.station_id AS nb_id FROM (SELECT DISTINCT station_id FROM readings) a JOIN (SELECT DISTINCT station_id FROM readings) b ON b.station_id BETWEEN a.station_id + 1 AND a.station_id + 2)"
+
+
+def next_stations(s: SparkSession, d: str) -> DataFrame:
+    ids = V.readings(s, d).select("station_id").distinct()
+    return ids.withColumn("nb_id", F.explode(F.array(F.col("station_id") + 1, F.col("station_id") + 2))).join(ids.select(F.col("station_id").alias("nb_id")), "nb_id", "left_semi").select("station_id", "nb_id")
+
+
+query("eligible_stations", "readings weeks", f""", {NEXT}, r AS (SELECT station_id FROM weeks GROUP BY ALL HAVING count(*) >= 4)
+SELECT station_id FROM r WHERE station_id IN (SELECT station_id FROM rn) AND station_id NOT IN (SELECT station_id FROM rn WHERE nb_id NOT IN (SELECT station_id FROM r))""")(lambda s, d: clean.eligible_stations(weeks(s, d), next_stations(s, d), 4))
 query("bounds_of", "stations", "SELECT round(min(lon) - 0.5, 6) AS minlon, round(min(lat) - 0.5, 6) AS minlat, round(max(lon) + 0.5, 6) AS maxlon, round(max(lat) + 0.5, 6) AS maxlat FROM stations")(lambda s, d: rounded(clean.bounds_of(V.stations(s, d), 0.5), "minlon", "minlat", "maxlon", "maxlat"))
 query("bbox_filter", "stations", "SELECT station_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM stations WHERE lon BETWEEN 3.9 AND 4.1 AND lat BETWEEN 50.4 AND 50.6")(lambda s, d: rounded(clean.bbox_filter(V.stations(s, d), (3.9, 50.4, 4.1, 50.6)).select("station_id", "lat", "lon"), "lat", "lon"))
 query("time_slice", "readings", "SELECT station_id, strftime(ts, '%Y-%m-%d') AS day, value FROM readings WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'")(lambda s, d: clean.time_slice(V.readings(s, d), "2024-01-08", 7).select("station_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value"))
@@ -146,8 +155,8 @@ SELECT split_part(line, ';', 1) AS ts_text, TRY_CAST(nullif(replace(split_part(l
 
 # Joins
 
-query("common_weeks", "stations nb readings weeks", """, n AS (SELECT station_id, count(*) AS n FROM nb GROUP BY ALL), h AS (SELECT nb.station_id, week_idx, count(DISTINCT nb_id) AS m FROM nb JOIN weeks w ON w.station_id = nb.nb_id GROUP BY ALL)
-SELECT station_id, week_idx FROM h JOIN n USING (station_id) WHERE m = n AND (station_id, week_idx) IN (SELECT (station_id, week_idx) FROM weeks)""")(lambda s, d: joins.common_weeks(weeks(s, d), neighbors(s, d)))
+query("common_weeks", "readings weeks", f""", {NEXT}, n AS (SELECT station_id, count(*) AS n FROM rn GROUP BY ALL), h AS (SELECT rn.station_id, week_idx, count(DISTINCT nb_id) AS m FROM rn JOIN weeks w ON w.station_id = rn.nb_id GROUP BY ALL)
+SELECT station_id, week_idx FROM h JOIN n USING (station_id) WHERE m = n AND (station_id, week_idx) IN (SELECT (station_id, week_idx) FROM weeks)""")(lambda s, d: joins.common_weeks(weeks(s, d), next_stations(s, d)))
 query("global_common_weeks", "readings weeks", "SELECT week_idx FROM weeks GROUP BY ALL HAVING count(DISTINCT station_id) = (SELECT count(DISTINCT station_id) FROM weeks)")(lambda s, d: joins.global_common_weeks(weeks(s, d)))
 query("covering_stations", "readings weeks", "SELECT station_id FROM weeks WHERE week_idx IN (0, 1, 4) GROUP BY ALL HAVING count(DISTINCT week_idx) = 3")(lambda s, d: joins.covering_stations(weeks(s, d), s.createDataFrame([(0,), (1,), (4,)], "week_idx int")))
 query("overlapping_stations", "readings weeks", "SELECT DISTINCT a.station_id FROM weeks a JOIN weeks b ON a.week_idx = b.week_idx AND a.station_id <> b.station_id")(lambda s, d: joins.overlapping_stations(weeks(s, d)))
