@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -233,3 +235,53 @@ def paired_ttest_p(pred: DataFrame, a: str, b: str) -> DataFrame:
     """paired_ttest with the two-sided p of each bin: as many rows as bins."""
     p = F.udf(lambda t, n: None if t is None or n < 2 else t_p_value(t, n - 1), "double")
     return paired_ttest(pred, a, b).withColumn("p", p("t", "n"))
+
+
+def bin_errors_best_ref(pred: DataFrame, best: str, threshold: float, least: int) -> DataFrame:
+    """bin_errors_given_hit, of bins with at least `least` samples of a method."""
+    return bin_errors_given_hit(pred, best, threshold).where(F.col("n") >= least)
+
+
+def _peak_places(x: np.ndarray, height: float, prominence: float, distance: int) -> list[int]:
+    rise = np.flatnonzero(np.diff(x))
+    starts, ends = np.concatenate([[0], rise + 1]), np.concatenate([rise, [len(x) - 1]])
+    tops = [(a + b) // 2 for a, b in zip(starts, ends) if 0 < a and b < len(x) - 1 and x[a - 1] < x[a] and x[b + 1] < x[b] and x[a] >= height]
+    kept: list[int] = []
+    for i in sorted(tops, key=lambda i: (-x[i], -i)):  # the higher peak wins
+        if all(abs(i - j) >= distance for j in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        higher = np.flatnonzero(x > x[i])
+        left, right = higher[higher < i], higher[higher > i]
+        base = max(x[(left[-1] if len(left) else 0) : i + 1].min(), x[i : (right[0] if len(right) else len(x) - 1) + 1].min())
+        if x[i] - base >= prominence:
+            out.append(i)
+    return out
+
+
+def find_peaks(series: DataFrame, height: float = 0.6, prominence: float = 0.1, distance: int = 6) -> DataFrame:
+    """station_id, pos, value of local maxima (the middle of a flat top) of a height and a prominence, `distance` samples apart.
+
+    Of peaks nearer to each other the higher stays (equal: the later); one station's series meets in a task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        return pdf.iloc[_peak_places(pdf["value"].to_numpy(float), height, prominence, distance)]
+
+    s = series.where("value is not null").select("station_id", F.col("pos").cast("long").alias("pos"), "value")
+    return s.groupBy("station_id").applyInPandas(run, "station_id long, pos long, value double")
+
+
+def peak_metrics(truth: DataFrame, pred: DataFrame, reach: int = 6, **how) -> DataFrame:
+    """One row: peaks of the truth, the share with a predicted peak at most `reach` steps off, the mean absolute error to
+    the nearest such peak, and the share of stations without a true peak that have a predicted one.
+    """
+    stations = truth.select("station_id").distinct()
+    t, p = find_peaks(truth, **how), find_peaks(pred, **how).withColumnsRenamed({"pos": "p_pos", "value": "p_value"})
+    off = F.abs(F.col("pos") - F.col("p_pos"))
+    near = t.join(p, "station_id").where(off <= reach).groupBy("station_id", "pos", "value").agg(F.min_by("p_value", F.struct(off, "p_pos")).alias("p_value"))
+    hits = t.join(near, ["station_id", "pos", "value"], "left").agg(F.count(F.lit(1)).alias("peaks"), F.avg(F.col("p_value").isNotNull().cast("int")).alias("recall"), F.avg(F.abs(F.col("p_value") - F.col("value"))).alias("mae"))
+    calm = stations.join(t, "station_id", "left_anti").join(p.select("station_id", F.lit(1).alias("f")).distinct(), "station_id", "left")
+    return hits.join(F.broadcast(calm.agg(F.avg(F.coalesce("f", F.lit(0))).alias("false_rate"))))  # one row each

@@ -168,3 +168,60 @@ def coord_basis(stations: DataFrame, counts: tuple[int, ...] = (4, 16)) -> DataF
     k = F.explode(F.array(*[F.struct(F.lit(a).alias("knot"), F.lit(b).alias("kx"), F.lit(c).alias("ky"), F.lit(t).alias("theta")) for a, b, c, t in knots]))
     g = s.withColumn("k", k).select("station_id", "k.knot", (F.sqrt(F.pow(F.col("x") - F.col("k.kx"), 2) + F.pow(F.col("y") - F.col("k.ky"), 2)) / F.col("k.theta")).alias("d"))
     return g.where("d <= 1").select("station_id", "knot", (F.pow(1 - F.col("d"), 6) * (35 * F.col("d") * F.col("d") + 18 * F.col("d") + 3) / 3).alias("value"))
+
+
+def linear_variogram_kriging(neighbors: DataFrame, stations: DataFrame, series: DataFrame, drift: bool = False, bins: int = 6) -> DataFrame:
+    """station_id, nb_id, w, fallback: kriging by a linear variogram fitted to each target's neighbours.
+
+    Semivariances of the neighbours' series are averaged over the steps and then in `bins` equal ranges of distance; a
+    line with a slope and a nugget of at least 0 is fitted through the means, weighted by their pairs. drift adds the
+    elevation (universal kriging). Where the system is singular, weights are by inverse distance.
+    """
+    v = neighbors.select("station_id", "nb_id").join(series.withColumnRenamed("station_id", "nb_id"), "nb_id")
+    a, b = v.withColumnsRenamed({"nb_id": "na", "value": "va"}), v.withColumnsRenamed({"nb_id": "nb", "value": "vb"})
+    pair = a.join(b, ["station_id", "pos"]).where("na < nb").groupBy("station_id", "na", "nb").agg((F.avg(F.pow(F.col("va") - F.col("vb"), 2)) / 2).alias("g"))
+    semi = pair.groupBy("station_id").agg(F.collect_list(F.struct("na", "nb", "g")).alias("semi"))  # k * (k - 1) / 2 entries
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        xy, z, z0 = pdf[["dx", "dy"]].to_numpy(float), pdf["z"].to_numpy(float), float(pdf["t_z"].iloc[0])
+        try:
+            w, back = _linear_weights(xy, z, z0, list(pdf["nb_id"]), pdf["semi"].iloc[0], drift, bins), False
+        except np.linalg.LinAlgError:
+            d = 1 / np.maximum(np.hypot(xy[:, 0], xy[:, 1]), 1e-12) ** 2
+            w, back = d / d.sum(), True
+        return pd.DataFrame({"station_id": pdf["station_id"], "nb_id": pdf["nb_id"], "w": w, "fallback": back})
+
+    g = _geometry(neighbors, stations).join(semi, "station_id", "left")
+    return g.groupBy("station_id").applyInPandas(run, "station_id long, nb_id long, w double, fallback boolean")
+
+
+def _linear_weights(xy: np.ndarray, z: np.ndarray, z0: float, ids: list, semi, drift: bool, bins: int) -> np.ndarray:
+    h = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    at = {n: i for i, n in enumerate(ids)}
+    found = np.array([(h[at[e["na"]], at[e["nb"]]], e["g"]) for e in semi if e["g"] is not None], float) if semi is not None else np.zeros((0, 2))
+    if len(found) < 2:
+        raise np.linalg.LinAlgError
+    edges = np.linspace(found[:, 0].min(), found[:, 0].max(), bins + 1)
+    place = np.clip(np.searchsorted(edges, found[:, 0], side="right") - 1, 0, bins - 1)
+    n = np.bincount(place, minlength=bins)
+    use = n > 0
+    mean = lambda x: np.bincount(place, x, minlength=bins)[use] / n[use]
+    d, g, n = mean(found[:, 0]), mean(found[:, 1]), n[use]
+    spread = (n * (d - np.average(d, weights=n)) ** 2).sum()
+    slope = max((n * (d - np.average(d, weights=n)) * g).sum() / spread, 0.0) if spread > 0 else 0.0
+    nugget = max(np.average(g, weights=n) - slope * np.average(d, weights=n), 0.0)
+    if slope == 0 and nugget > 0:
+        slope, nugget = 1e-9 * nugget, nugget
+    gamma = slope * h + nugget * (1 - np.eye(len(h)))
+    cols = [np.ones(len(z))]
+    own = [1.0]
+    if drift:
+        if np.ptp(z) < 1e-9:
+            raise np.linalg.LinAlgError
+        cols.append((z - z.mean()) / z.std())
+        own.append((z0 - z.mean()) / z.std())
+    w = kriging_system(gamma, slope * np.hypot(xy[:, 0], xy[:, 1]) + nugget, np.stack(cols, axis=1), np.array(own))
+    if not np.isfinite(w).all():
+        raise np.linalg.LinAlgError
+    return w

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalars
 from gaugeloom.operators import clean, evaluate, graph, interp, joins, raster, timeseries
-from gaugeloom.plans import more, queries  # noqa: F401  more registers its queries
+from gaugeloom.plans import models, more, queries  # noqa: F401  models and more register theirs
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
