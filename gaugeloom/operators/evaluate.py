@@ -276,7 +276,7 @@ def find_peaks(series: DataFrame, height: float = 0.6, prominence: float = 0.1,
 
 def peak_metrics(truth: DataFrame, pred: DataFrame, reach: int = 6, **how) -> DataFrame:
     """One row: peaks of the truth, the share with a predicted peak at most `reach` steps off, the mean absolute error to
-    the nearest such peak, and the share of stations without a true peak that have a predicted one.
+    the nearest such peak, and the share of stations without a true peak that have a predicted one (null without such stations).
     """
     stations = truth.select("station_id").distinct()
     t, p = find_peaks(truth, **how), find_peaks(pred, **how).withColumnsRenamed({"pos": "p_pos", "value": "p_value"})
