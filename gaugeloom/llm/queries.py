@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, id_store, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, toxicity
+from . import bpe, collocations, common, exact_dedup, id_store, line_dedup, minhash, mixing, pii, quality_classifier, quality_rules, spelling, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = common.scratch_path(spark, "token-cache")
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_id_store, op4_quality_rules, op5_quality_classifier, op6_line_dedup, op7_bpe, op8_minhash, op9_mixing, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_id_store, op4_quality_rules, op5_quality_classifier, op6_line_dedup, op7_bpe, op8_minhash, op9_mixing, op10_pii, op11_token_counts, op12_spelling_variants, op13_collocations, pipeline)}
 
 
 EXACT_SQL = r"""
@@ -94,4 +107,4 @@ FROM n JOIN (SELECT id, min(root) AS c FROM t GROUP BY id) m ON m.id = n.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": EXACT_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
