@@ -28,8 +28,8 @@ from . import common as C
 #: Pieces end at these characters; blanks separate words; A to Z become lower case.
 ENDS, BETWEEN = ".,;:!?\n\x0b\x0c\r", " \t"
 LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS + "\t", "abcdefghijklmnopqrstuvwxyz" + "\n" * len(ENDS) + " ")
-#: Bytes of text of a shard.
-SHARD_BYTES = 12 << 20
+#: Characters of text of a shard, and those that are cut into words at once.
+SHARD_CHARS, SLICE = 6 << 20, 1 << 20
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 INDEX_SCHEMA = "words array<string>, forward binary, backward binary"
 COUNT_SCHEMA = "phrase string, f long"
@@ -116,17 +116,23 @@ class WordIndex:
 def _pieces(texts: Iterable[tuple[str, str]], ids: _Ids) -> np.ndarray:
     """Word ids of all pieces of (language, text), from 1, with a 0 after each piece."""
     own: dict[str, list[str]] = {}
-    for lang, text in texts:
-        own.setdefault(lang, []).append(text)
     out = []
-    for lang, some in own.items():
+
+    def take(lang: str, some: list[str]) -> None:
         found = _Ids()
         tokens = "\n".join(some).translate(LETTERS).replace("\n", " \n ").split(" ")
-        local = np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens))
-        to = np.array([-1 if w == "" else 0 if w == "\n" else ids[f"{lang}\t{w}"] + 1 for w in found], np.int64)
+        local = np.fromiter(map(found.__getitem__, tokens), np.int32, len(tokens))
+        to = np.array([-1 if w == "" else 0 if w == "\n" else ids[f"{lang}\t{w}"] + 1 for w in found], np.int32)
         seq = to[local]
-        out += [seq[seq >= 0], np.zeros(1, np.int64)]
-    seq = np.concatenate(out or [np.zeros(0, np.int64)])
+        out.extend([seq[seq >= 0], np.zeros(1, np.int32)])
+
+    for lang, text in texts:
+        own.setdefault(lang, []).append(text)
+        if sum(map(len, own[lang])) > SLICE:
+            take(lang, own.pop(lang))
+    for lang, some in own.items():
+        take(lang, some)
+    seq = np.concatenate(out or [np.zeros(0, np.int32)])
     return seq[(seq > 0) | np.append(True, seq[:-1] > 0)] if len(seq) else seq  # one end after another says nothing
 
 
@@ -145,7 +151,7 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for lang, text in zip(*(c.to_pylist() for c in b.columns)):
-            if held and size + len(text) > SHARD_BYTES:
+            if held and size + len(text) > SHARD_CHARS:
                 yield built()
                 held, size = [], 0
             if text:

@@ -23,6 +23,8 @@ from . import common as C
 from .id_store import library_encoder
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
+#: Characters that are cut into pieces at once: pieces take many times the room of their text.
+SLICE = 1 << 20
 
 
 def tokenizer_version(path: str) -> str:
@@ -88,6 +90,18 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return _COUNTERS[path]
 
 
+def _sliced(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def _counted(texts: DataFrame, path: str) -> DataFrame:
     """digest and n_tokens of rows of (digest, text)."""
 
@@ -95,7 +109,8 @@ def _counted(texts: DataFrame, path: str) -> DataFrame:
         count = counter(path)
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], ["digest", "n_tokens"])
+                counts = [n for some in _sliced(b.column(1).to_pylist()) for n in count(some)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return texts.select("digest", "text").mapInArrow(run, CACHE_SCHEMA)
 
