@@ -12,7 +12,7 @@ whose false positives cost rows and never change a count.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,9 @@ from pyspark.sql.window import Window
 from . import common as C
 
 #: Pieces end at these characters; blanks separate words; A to Z become lower case.
-ENDS, BETWEEN = ".,;:!?\n\x0b\x0c\r", " \t"
-LETTERS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS + "\t", "abcdefghijklmnopqrstuvwxyz" + "\n" * len(ENDS) + " ")
+ENDS = ".,;:!?\n\x0b\x0c\r"
+#: On UTF-8, whose other characters hold no such bytes.
+LETTERS = bytes.maketrans(f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{ENDS}\t".encode(), ("abcdefghijklmnopqrstuvwxyz" + "\n" * len(ENDS) + " ").encode())
 #: Characters of text of a shard, and those that are cut into words at once.
 SHARD_CHARS, SLICE = 6 << 20, 1 << 20
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
@@ -38,7 +39,7 @@ COUNT_SCHEMA = "phrase string, f long"
 class _Ids(dict):
     """Gives each new key the next number."""
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: bytes) -> int:
         self[key] = out = len(self)
         return out
 
@@ -74,16 +75,20 @@ def transform(seq: np.ndarray) -> np.ndarray:
 
 
 class WordIndex:
-    """Both transforms of a sequence of word ids, each with its last-to-first mapping."""
+    """Both transforms of a sequence of word ids, with their last-to-first mappings."""
 
     def __init__(self, forward: np.ndarray, backward: np.ndarray, n_words: int):
         self.text = forward, backward
-        self.first = []
-        for t in self.text:
-            out = np.empty(len(t), np.int64)
-            out[np.argsort(t, kind="stable")] = np.arange(len(t))
-            self.first.append(out)
-        self.starts = np.searchsorted(np.sort(forward), np.arange(n_words + 2))
+        self.mapping: list[np.ndarray | None] = [None, None]
+        self.starts = np.append(0, np.cumsum(np.bincount(forward, minlength=n_words + 1)))
+
+    def first(self, side: int) -> np.ndarray:
+        """Where each symbol of a transform stands in the first column."""
+        if self.mapping[side] is None:
+            out = np.empty(len(self.text[side]), np.int64)
+            out[np.argsort(self.text[side], kind="stable")] = np.arange(len(out))
+            self.mapping[side] = out
+        return self.mapping[side]
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words: ids, where their interval begins (alike in both directions), and their counts."""
@@ -91,12 +96,8 @@ class WordIndex:
         ids = np.flatnonzero(counts) + 1
         return ids, self.starts[ids], counts[ids - 1]
 
-    def extend(self, side: int, low: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Intervals extended by each word before (side 0) or after (1) them.
-
-        low and other: where an interval begins in the direction of side and in the opposite one. Gives
-        the row extended, the word, and the new low, other and size.
-        """
+    def _symbols(self, side: int, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, symbol and number of the symbols in each interval, their first place in it and among all places."""
         text, n = self.text[side], len(self.text[side])
         row = np.repeat(np.arange(len(low)), size)
         at = np.arange(len(row)) + np.repeat(low - (np.cumsum(size) - size), size)
@@ -104,14 +105,28 @@ class WordIndex:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(begins, len(keys)))
         row, word = np.divmod(keys[begins], n)
+        return row, word, np.diff(np.append(begins, len(keys))), at[order[begins]], begins
+
+    def extend(self, side: int, low: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Intervals extended by each word before (side 0) or after (1) them.
+
+        low and other: where an interval begins in the direction of side and in the opposite one. Gives
+        the row extended, the word, and the new low, other and size.
+        """
+        row, word, counts, places, begins = self._symbols(side, low, size)
         # smaller symbols of the interval come first in the opposite direction
         inside = begins - (np.cumsum(size) - size)[row]
-        new_low, new_other = self.first[side][at[order[begins]]], other[row] + inside
+        new_low, new_other = self.first(side)[places], other[row] + inside
         real = word > 0
         return row[real], word[real], new_low[real], new_other[real], counts[real]
 
+    def extensions(self, side: int, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, word and count of each extension, without its interval."""
+        row, word, counts, _, _ = self._symbols(side, low, size)
+        real = word > 0
+        return row[real], word[real], counts[real]
+
 
 def _pieces(texts: Iterable[tuple[str, str]], ids: _Ids) -> np.ndarray:
     """Word ids of all pieces of (language, text), from 1, with a 0 after each piece."""
@@ -120,9 +135,10 @@ def _pieces(texts: Iterable[tuple[str, str]], ids: _Ids) -> np.ndarray:
 
     def take(lang: str, some: list[str]) -> None:
         found = _Ids()
-        tokens = "\n".join(some).translate(LETTERS).replace("\n", " \n ").split(" ")
+        tokens = "\n".join(some).encode().translate(LETTERS).replace(b"\n", b" \n ").split(b" ")
         local = np.fromiter(map(found.__getitem__, tokens), np.int32, len(tokens))
-        to = np.array([-1 if w == "" else 0 if w == "\n" else ids[f"{lang}\t{w}"] + 1 for w in found], np.int32)
+        head = f"{lang}\t".encode()
+        to = np.array([-1 if not w else 0 if w == b"\n" else ids[head + w] + 1 for w in found], np.int32)
         seq = to[local]
         out.extend([seq[seq >= 0], np.zeros(1, np.int32)])
 
@@ -147,7 +163,7 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
         seq = _pieces(held, ids)
         texts = transform(seq), transform(np.append(seq[-2::-1], 0))
-        return pa.RecordBatch.from_arrays([pa.array([list(ids)], pa.list_(pa.string())), *(pa.array([_packed(t)]) for t in texts)], ["words", "forward", "backward"])
+        return pa.RecordBatch.from_arrays([pa.array([[w.decode() for w in ids]], pa.list_(pa.string())), *(pa.array([_packed(t)]) for t in texts)], ["words", "forward", "backward"])
 
     for b in batches:
         for lang, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -186,8 +202,8 @@ def _batches(phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([phrases[i : i + (1 << 16)], pa.array(counts[i : i + (1 << 16)], pa.int64())], ["phrase", "f"])
 
 
-def _hashes(named: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in named), np.uint64, len(named))
+def _hashes(named: Iterable[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, named), np.uint64)
 
 
 def _key(parts: list[np.ndarray]) -> np.ndarray:
@@ -202,51 +218,48 @@ def _plain(named: list[str]) -> list[str]:
     return [w.rpartition("\t")[2] for w in named]
 
 
-def _short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all words and pairs of words; the language alone stands for all its words."""
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all words; the language alone stands for all its words."""
     for named, index in _opened(batches):
-        ids, low, size = index.words()
-        names, plain = pa.array(named), pa.array(_plain(named))
+        ids, _, size = index.words()
         langs: dict[str, int] = {}
         for i, n in zip(ids.tolist(), size.tolist()):
             lang = named[i - 1].rpartition("\t")[0]
             langs[lang] = langs.get(lang, 0) + n
         yield from _batches(pa.array([f"{x}\t" for x in langs]), np.array(list(langs.values()), np.int64))
-        yield from _batches(_joined(names, plain, [ids]), size)
-        row, word, _, _, counts = index.extend(1, low, low, size)
-        yield from _batches(_joined(names, plain, [ids[row], word]), counts)
+        names = pa.array(named)
+        yield from _batches(_joined(names, names, [ids]), size)
 
 
-def _longer(length: int, filters) -> callable:
-    """Counts of phrases of so many words whose shorter phrases may all be frequent. filters: one for each shorter length from 2."""
+def _longer(length: int, filters) -> Callable:
+    """Counts of phrases of so many words whose shorter phrases may all be frequent. filters: one for each shorter length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(f.value, np.uint8) for f in filters]
         for named, index in _opened(batches):
-            hashes = _hashes(named)
+            hashes = np.append(np.uint64(0), _hashes(named))
             ids, low, size = index.words()
             words, back = [ids], low
-            for k in range(2, length):  # frequent phrases grow to the right
-                row, word, back, low, size = index.extend(1, back, low, size)
-                words = [w[row] for w in words] + [word]
-                ok = C.probe(bits[k - 2], _key([hashes[w - 1] for w in words]))
+            for k in range(1, length):  # frequent phrases grow to the right
+                if k > 1:
+                    row, word, back, low, size = index.extend(1, back, low, size)
+                    words = [w[row] for w in words] + [word]
+                ok = C.probe(bits[k - 1], _key([hashes[w] for w in words]))
                 words, low, back, size = [w[ok] for w in words], low[ok], back[ok], size[ok]
-            row, word, low, back, size = index.extend(0, low, back, size)  # and last to the left
+            row, word, size = index.extensions(0, low, size)  # and last to the left
             words = [word] + [w[row] for w in words]
-            ok = C.probe(bits[length - 3], _key([hashes[w - 1] for w in words[:-1]]))
-            words, size = [w[ok] for w in words], size[ok]
-            yield from _batches(_joined(pa.array(named), pa.array(_plain(named)), words), size)
+            ok = C.probe(bits[length - 2], _key([hashes[w] for w in words[:-1]]))
+            yield from _batches(_joined(pa.array(named), pa.array(_plain(named)), [w[ok] for w in words]), size[ok])
 
     return run
 
 
 def _phrase_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys = []
-        for p in b.column(0).to_pylist():
-            lang, _, words = p.rpartition("\t")
-            keys.append(_key([*_hashes([f"{lang}\t{w}" for w in words.split(" ")]).reshape(-1, 1)])[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["h"])
+        if b.num_rows:  # phrases of one length
+            told = [(lang, words.split(" ")) for lang, _, words in (p.rpartition("\t") for p in b.column(0).to_pylist())]
+            keys = _key([_hashes(f"{lang}\t{words[i]}" for lang, words in told) for i in range(len(told[0][1]))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], ["h"])
 
 
 def phrase_counts(shards: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -256,9 +269,9 @@ def phrase_counts(shards: DataFrame, least: int = LEAST, longest: int = LONGEST)
     """
     spark = shards.sparkSession
     frequent = (F.col("f") >= least) | F.col("phrase").endswith("\t")
-    found = C.stored(shards.mapInArrow(_short, COUNT_SCHEMA).groupBy("phrase").agg(F.sum("f").alias("f")).where(frequent), "phrase-counts")
-    last, filters = found.where(F.col("phrase").contains(" ")), []
-    for length in range(3, longest + 1):
+    found = C.stored(shards.mapInArrow(_word_counts, COUNT_SCHEMA).groupBy("phrase").agg(F.sum("f").alias("f")).where(frequent), "phrase-counts")
+    last, filters = found.where(~F.col("phrase").endswith("\t") & (F.col("f") >= least)), []
+    for length in range(2, longest + 1):
         bits = C.key_filter(last.select("phrase").mapInArrow(_phrase_keys, "h long"), "h")
         filters.append(spark.sparkContext.broadcast(bits))  # of fixed size
         last = C.stored(shards.mapInArrow(_longer(length, list(filters)), COUNT_SCHEMA).groupBy("phrase").agg(F.sum("f").alias("f")).where(f"f >= {least}"), "phrase-counts")
