@@ -30,7 +30,7 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 #: On UTF-8, whose other characters hold no such bytes.
 LETTERS = bytes.maketrans(f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{ENDS}\t".encode(), ("abcdefghijklmnopqrstuvwxyz" + "\n" * len(ENDS) + " ").encode())
 #: Characters of text of a shard, and those that are cut into words at once.
-SHARD_CHARS, SLICE = 6 << 20, 1 << 20
+SHARD_CHARS, SLICE = 3 << 20, 1 << 19
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
 INDEX_SCHEMA = "words array<string>, forward binary, backward binary"
 COUNT_SCHEMA = "phrase string, f long"
@@ -85,8 +85,8 @@ class WordIndex:
     def first(self, side: int) -> np.ndarray:
         """Where each symbol of a transform stands in the first column."""
         if self.mapping[side] is None:
-            out = np.empty(len(self.text[side]), np.int64)
-            out[np.argsort(self.text[side], kind="stable")] = np.arange(len(out))
+            out = np.empty(len(self.text[side]), np.int32)
+            out[np.argsort(self.text[side], kind="stable")] = np.arange(len(out), dtype=np.int32)
             self.mapping[side] = out
         return self.mapping[side]
 
@@ -101,9 +101,10 @@ class WordIndex:
         text, n = self.text[side], len(self.text[side])
         row = np.repeat(np.arange(len(low)), size)
         at = np.arange(len(row)) + np.repeat(low - (np.cumsum(size) - size), size)
-        keys = row * n + text[at]  # ids are below n
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+        row *= n
+        row += text[at]  # ids are below n
+        order = np.argsort(row, kind="stable")
+        keys = row[order]
         begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         row, word = np.divmod(keys[begins], n)
         return row, word, np.diff(np.append(begins, len(keys))), at[order[begins]], begins
@@ -166,7 +167,7 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([[w.decode() for w in ids]], pa.list_(pa.string())), *(pa.array([_packed(t)]) for t in texts)], ["words", "forward", "backward"])
 
     for b in batches:
-        for lang, text in zip(*(c.to_pylist() for c in b.columns)):
+        for lang, text in ((x.as_py(), y.as_py()) for x, y in zip(*b.columns)):
             if held and size + len(text) > SHARD_CHARS:
                 yield built()
                 held, size = [], 0
@@ -186,8 +187,9 @@ def index_shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
 def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[str], WordIndex]]:
     for b in batches:
-        for named, *texts in zip(*(c.to_pylist() for c in b.columns)):
-            forward, backward = (np.frombuffer(zstandard.decompress(t), "<u4").astype(np.int64) for t in texts)
+        for i in range(b.num_rows):  # one shard at a time
+            named, *texts = (c[i].as_py() for c in b.columns)
+            forward, backward = (np.frombuffer(zstandard.decompress(t), "<u4") for t in texts)
             yield named, WordIndex(forward, backward, len(named))
 
 
