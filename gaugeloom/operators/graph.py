@@ -43,18 +43,50 @@ def orient_edges(edges: DataFrame) -> DataFrame:
     return kept.union(turned).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and its component's smallest node, whatever the edges' directions: labels travel and jump."""
-    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "graph-edges")
-    labels = stored(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "graph-labels")
+def components(edges: DataFrame, progress: list | None = None) -> DataFrame:
+    """node and its component's smallest node, whatever the edges' directions.
+
+    Each round hooks every root to the smallest root beside it, flattens what hangs together by pointer
+    doubling, and goes on with the roots alone and the edges between them, of which each round leaves a
+    fraction: so rounds are a logarithm of the nodes, not of the longest path. progress: takes the
+    number of edges of each round.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    left, steps = stored(both.where("src <> dst"), "graph-edges"), []
+    while not left.isEmpty():
+        if progress is not None:
+            progress.append(left.count())
+        up = left.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
+        roots = _flat(stored(up, "graph-hooks"))
+        steps.append(roots)
+        a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst"))
+        left = stored(left.join(a, "src").join(b, "dst").where("src_root <> dst_root").select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).distinct(), "graph-edges")
+    labels = None
+    for roots in reversed(steps):  # from the few last roots back to all nodes
+        if labels is not None:
+            roots = roots.join(labels.select(F.col("node").alias("root"), "label"), "root", "left").select("node", F.coalesce("label", "root").alias("label"))
+            labels = stored(roots, "graph-labels")
+        else:
+            labels = roots.withColumnRenamed("root", "label")
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _flat(up: DataFrame) -> DataFrame:
+    """A forest of (node, root) with each node's last root: pointer doubling, four times as far each round."""
     while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        step = stored(labels.join(near, labels.node == near.src).select("node", "label", F.least("label", "near").alias("next")), "graph-step")
-        jump = step.select(F.col("node").alias("at"), F.col("next").alias("far"))
-        new = stored(step.join(jump, F.col("next") == F.col("at")).select("node", "label", F.least("next", "far").alias("next")), "graph-labels")
-        if new.where("next <> label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", F.col("next").alias("label"))
+        twice = _jumped(up, up)
+        far = stored(_jumped(twice, twice), "graph-roots")
+        if far.where("moved").isEmpty():
+            return far.select("node", "root")
+        up = far.select("node", "root")
+
+
+def _jumped(up: DataFrame, further: DataFrame) -> DataFrame:
+    ahead = further.select(F.col("node").alias("at"), F.col("root").alias("far"))
+    return up.join(ahead, up.root == ahead.at).select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
 
 
 def trim_component(edges: DataFrame, keep: DataFrame) -> DataFrame:

@@ -43,3 +43,18 @@ def globally_ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     counts = counts.select("part", before.alias("before"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("seq"))
     return own.withColumn("inside", inside).join(F.broadcast(counts), "part").withColumn("rank", F.col("before") + F.col("inside")).drop("seq", "inside", "before")  # counts: one row a part
+
+
+def running_in_blocks(df: DataFrame, key: str, block: str, order: str, sums: dict[str, str], name: str) -> DataFrame:
+    """df with running sums (column to its sum's name), this row included, over the rows of a key in their order.
+
+    block: a coarser number that rises with the order. Rows of a block meet in one task, and of a key
+    only one row a block.
+    """
+    own = stored(df, name)
+    totals = own.groupBy(key, block).agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    before = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(key, block, *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumns({s: F.sum(c).over(inside) for c, s in sums.items()})
+    return own.join(totals, [key, block]).withColumns({s: F.col(s) + F.col(f"__{c}") for c, s in sums.items()}).drop(*[f"__{c}" for c in sums])
