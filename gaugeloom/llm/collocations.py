@@ -276,7 +276,9 @@ def phrase_counts(shards: DataFrame, least: int = LEAST, longest: int = LONGEST)
     for length in range(2, longest + 1):
         bits = C.key_filter(last.select("phrase").mapInArrow(_phrase_keys, "h long"), "h")
         filters.append(spark.sparkContext.broadcast(bits))  # of fixed size
-        last = C.stored(shards.mapInArrow(_longer(length, list(filters)), COUNT_SCHEMA).groupBy("phrase").agg(F.sum("f").alias("f")).where(f"f >= {least}"), "phrase-counts")
+        # A shard has summed its own; a task's map of many shards' phrases would save little and hold much.
+        told = shards.mapInArrow(_longer(length, list(filters)), COUNT_SCHEMA).repartition("phrase")
+        last = C.stored(told.groupBy("phrase").agg(F.sum("f").alias("f")).where(f"f >= {least}"), "phrase-counts")
         found = found.unionByName(last)
     return found
 
