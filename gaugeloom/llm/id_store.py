@@ -178,18 +178,21 @@ def write_ids(docs: DataFrame, path: str, make_encoder, id_col: str = "doc_id",
 
     Null texts count as empty (one id, the end). Documents are in ascending doc_id order, null last;
     rows that repeat a doc_id stand side by side. An empty table gives an empty store. Other columns
-    are ignored.
+    are ignored. Ids are integers or strings; others raise a TypeError.
     """
     spark = docs.sparkSession
     C.bound_batches(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), C.text_of(text_col).alias("text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type)
+    if arrow_id is None:
+        raise TypeError(f"doc_id must be an integer or a string, not {id_type}")
     made = C.stored(src.mapInArrow(_encoded(make_encoder, arrow_id), f"row long, doc_id {id_type}, n_tokens long, root binary, digests array<binary>, digest binary, n int, payload binary"), "ids-encoded")
     chunks = made.where("digest is not null").groupBy("digest").agg(F.min("n").alias("n"), F.min("payload").alias("payload"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = C.ranked(made.where("row is not null").select("row", "doc_id", "n_tokens", "root", "digests"), ["doc_id", "row"], "n_tokens", "ids-recipes")
-    recipes.withColumnRenamed("before", "start").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    # every document has an id at least, so starts rise with the order; range partitions become files in that order
+    recipes.withColumnRenamed("before", "start").orderBy("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
 
 def _join_crc(length: int, _made: dict[int, list[list[int]]] = {}) -> list[list[int]]:  # noqa: B006

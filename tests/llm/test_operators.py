@@ -1,5 +1,6 @@
 """Each text operator against a brute-force version, on awkward rows and on the small tables."""
 
+import glob
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -202,6 +204,20 @@ def test_id_store(spark, docs, odd, none):
     assert id_store.read_checksums(spark, path).count() == 0
 
 
+def test_recipes_are_files_in_order(spark, docs):
+    path = common.scratch_path(spark, "test-ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        id_store.write_ids(docs.repartition(5), path, id_store.library_encoder(public_tokenizers.path("byte_bpe_50k.json")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(glob.glob(path.removeprefix("file://") + "/recipes/part-*.parquet"))
+    ids = [i for n in names for i in pq.read_table(n, columns=["doc_id"]).column(0).to_pylist()]
+    assert len(names) > 1 and ids == sorted(ids) and len(ids) == docs.count()
+    with pytest.raises(TypeError):
+        id_store.write_ids(docs.withColumn("doc_id", F.col("doc_id").cast("double")), path + "-odd", None)
+
+
 def test_chunks_and_crc():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50000, 20000).astype(np.uint16)
