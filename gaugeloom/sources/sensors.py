@@ -9,20 +9,43 @@ from ..functions.scalars import decimal_comma
 
 
 def parse_sensor_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Lines "time;number" to (ts, value): "#" lines and lines of one field go, an empty number is null."""
+    """Lines "time;number" to (ts_text, ts, value), beside the frame's other columns: "#" lines and lines of one field go, an empty number is null."""
     parts = F.split(F.col(col), ";")
     good = lines.where(~F.col(col).startswith("#")).where(F.size(parts) >= 2)
-    return good.select(F.trim(parts[0]).alias("ts_text"), F.try_to_timestamp(F.trim(parts[0])).alias("ts"), decimal_comma(parts[1]).alias("value"))
+    others = [c for c in lines.columns if c != col]
+    return good.select(*others, F.trim(parts[0]).alias("ts_text"), F.try_to_timestamp(F.trim(parts[0])).alias("ts"), decimal_comma(parts[1]).alias("value"))
 
 
-def read_sensor_csv(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
-    """All sensor files under path, with the file's stem as `sensor`."""
+def discover(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
+    """file, stem, bytes, modified: all files under path, at any depth, but for empty ones. Only names and sizes are read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (reader.option("pathGlobFilter", f"*.{extension}") if extension else reader).load(path)
+    return files.select(F.col("path").alias("file"), F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
+def sensor_lines(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
+    """Raw lines of all sensor files under path: sensor (the file's stem), file, value. Files may lie in any store that Spark reads."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").text(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]*$", 1)
-    parsed = lines.select("value", stem.alias("sensor"))
+    return lines.select(stem.alias("sensor"), F.col("_metadata.file_path").alias("file"), "value")
+
+
+def read_sensor_csv(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
+    """sensor, ts, value of all sensor files under path (`parse_sensor_lines`)."""
+    return parse_sensor_lines(sensor_lines(spark, path, extension)).select("sensor", "ts", "value")
+
+
+def sensor_file_report(spark: SparkSession, path: str, extension: str = "csv") -> DataFrame:
+    """A row for each file with lines: sensor, lines, headers, short (one field), empty (no number), bad_time, bad_number."""
     parts = F.split("value", ";")
-    good = parsed.where(~F.col("value").startswith("#")).where(F.size(parts) >= 2)
-    return good.select("sensor", F.try_to_timestamp(F.trim(parts[0])).alias("ts"), decimal_comma(parts[1]).alias("value"))
+    lines = sensor_lines(spark, path, extension).withColumn("header", F.col("value").startswith("#"))
+    lines = lines.withColumn("short", ~F.col("header") & (F.size(parts) < 2)).withColumn("data", ~F.col("header") & ~F.col("short"))
+    number = F.trim(F.get(parts, 1))
+    count = lambda c: F.sum(c.cast("long"))
+    return lines.groupBy("file", "sensor").agg(
+        F.count(F.lit(1)).alias("lines"), count(F.col("header")).alias("headers"), count(F.col("short")).alias("short"), count(F.col("data") & (number == "")).alias("empty"),
+        count(F.col("data") & F.try_to_timestamp(F.trim(parts[0])).isNull()).alias("bad_time"), count(F.col("data") & (number != "") & decimal_comma(number).isNull()).alias("bad_number"),
+    ).drop("file")
 
 
 def attach_station(readings: DataFrame, meta: DataFrame, on: str = "sensor") -> DataFrame:
