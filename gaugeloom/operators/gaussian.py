@@ -146,7 +146,8 @@ def coef_interval(df: DataFrame, features: list[str], draws: list[list[float]],
 def nngp_fit(series: DataFrame, features: list[str]) -> dict:
     """beta by least squares; phi and the variance of what is left by the Gaussian likelihood of the lag-1 residuals, in closed form.
 
-    series: station_id, pos, value and the features (with their column of ones).
+    series: station_id, pos, value and the features (with their column of ones). The likelihood of single series tells
+    only the variance, sigma2 + tau2: it is shared out 4 to 1, and the length ell is 1, in normalised coordinates.
     """
     beta, _, _, _ = least_squares(series, "value", features)
     r = series.select("station_id", "pos", (F.col("value") - _linear(features, beta)).alias("r"))
@@ -154,13 +155,13 @@ def nngp_fit(series: DataFrame, features: list[str]) -> dict:
     m = lagged.agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("r") * F.col("r")).alias("rr"), F.count(F.lit(1)).alias("n")).first()
     phi = float(np.clip(m["rp"] / m["pp"], -0.999, 0.999)) if m["pp"] else 0.0
     left = ((m["rr"] - 2 * phi * m["rp"] + phi * phi * m["pp"]) / m["n"]) if m["n"] else 0.0
-    return {"features": features, "beta": [float(b) for b in beta], "phi": phi, "variance": float(left)}
+    return {"features": features, "beta": [float(b) for b in beta], "phi": phi, "variance": float(left), "sigma2": 0.8 * float(left), "tau2": 0.2 * float(left), "ell": 1.0}
 
 
 def nngp_predict(series: DataFrame, weights: DataFrame, fit: dict) -> DataFrame:
     """station_id, pos, out: trend, plus phi times the previous prediction's departure from it, plus the neighbours' weighted innovations.
 
-    series as in nngp_fit; weights: station_id, nb_id, w. A target's own values are not used. The recursion runs along a
+    series as in nngp_fit; weights: station_id, nb_id, w (`learned.nngp_weights`). A target's own values are not used. The recursion runs along a
     target's steps in one task (a segment's length).
     """
     phi = fit["phi"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,54 +16,66 @@ def _in_cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumns({"cx": F.floor(F.col("lon") / cell), "cy": F.floor(F.col("lat") / cell)})
 
 
-def knn_ref(query: DataFrame, ref: DataFrame, k: int, cell: float = 0.25, exclude_same: bool = False, before: bool = False) -> DataFrame:
+#: Rings grow by so much; beyond so many cells across, cells are looked up in blocks.
+GROWTH, ACROSS = 4, 4
+
+
+def knn_ref(query: DataFrame, ref: DataFrame, k: int, cell: float | None = None, exclude_same: bool = False, before: bool = False) -> DataFrame:
     """The k nearest of ref to each query point: station_id, nb_id, rank, dist (planar, in degrees; ties by id).
 
-    Points fall into grid cells; a query looks into the rings of cells around it, which double until
-    the k-th neighbour is nearer than what lies beyond the rings. No point meets all others unless
-    it must. before: only neighbours of a smaller id.
+    Points fall into grid cells, by default such that one holds about k of ref. A query looks into the ring of cells around
+    it, and then into wider rings, keeping the nearest so far, until the k-th is nearer than what lies
+    beyond the rings or all of ref is seen. A ring is looked at once; wide ones go by blocks of cells, so a round
+    costs a query some hundred rows at most, however far its neighbours are. No point meets all others
+    unless it must. before: only neighbours of a smaller id.
     """
+    c = F.col
+    points = ref.select(c("station_id").alias("nb_id"), c("lat").alias("nb_lat"), c("lon").alias("nb_lon"))
+    e = points.agg(F.count(F.lit(1)).alias("n"), F.min("nb_lat").alias("lat0"), F.max("nb_lat").alias("lat1"), F.min("nb_lon").alias("lon0"), F.max("nb_lon").alias("lon1")).first()
+    if e["lat0"] is None:
+        return query.select("station_id", c("station_id").alias("nb_id"), F.lit(1).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
+    if cell is None:
+        cell = max(math.sqrt(max(e["lat1"] - e["lat0"], 1e-9) * max(e["lon1"] - e["lon0"], 1e-9) * k / e["n"]), 1e-9)
+    r = stored(points.withColumns({"rx": F.floor(c("nb_lon") / cell), "ry": F.floor(c("nb_lat") / cell)}), "knn-ref")
+    low, high = ([math.floor(e[f"{v}{i}"] / cell) for v in ("lon", "lat")] for i in (0, 1))
     q = _in_cells(query.select("station_id", "lat", "lon"), cell)
-    r = stored(_in_cells(ref.select(F.col("station_id").alias("nb_id"), F.col("lat").alias("nb_lat"), F.col("lon").alias("nb_lon"), F.col("lat"), F.col("lon")), cell).drop("lat", "lon"), "knn-ref")
-    extent = r.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    pending, done, ring = stored(q, "knn-query"), None, 1
+    whole = F.greatest(c("cx") - low[0], high[0] - c("cx"), c("cy") - low[1], high[1] - c("cy"))  # the ring that sees all of ref
+    pending, carried, done, old, ring = stored(q.withColumn("whole", whole), "knn-query"), None, None, -1, 1
     while True:
-        side = F.sequence(F.lit(-ring), F.lit(ring))
-        # cells beyond the extent of ref hold nothing
-        wide = pending.withColumn("tx", F.explode(F.transform(side, lambda d: F.col("cx") + d))).withColumn("ty", F.explode(F.transform(side, lambda d: F.col("cy") + d)))
-        wide = wide.where(F.col("tx").between(extent[0], extent[1]) & F.col("ty").between(extent[2], extent[3])) if extent[0] is not None else wide.limit(0)
-        near = wide.join(r.withColumnsRenamed({"cx": "tx", "cy": "ty"}), ["tx", "ty"])
+        block = max(1, ring // ACROSS)
+
+        def side(at: str, i: int, ring: int = ring, block: int = block):
+            a, b = F.greatest(F.floor((c(at) - ring) / block), F.lit(low[i] // block)), F.least(F.floor((c(at) + ring) / block), F.lit(high[i] // block))
+            return F.explode(F.when(a <= b, F.sequence(a, b)))
+
+        wide = pending.withColumn("tx", side("cx", 0)).withColumn("ty", side("cy", 1))
+        near = wide.join(r.withColumns({"tx": F.floor(c("rx") / block), "ty": F.floor(c("ry") / block)}), ["tx", "ty"])
+        near = near.where(F.greatest(F.abs(c("rx") - c("cx")), F.abs(c("ry") - c("cy"))).between(old + 1, ring))
         if exclude_same:
             near = near.where("station_id <> nb_id")
         if before:
             near = near.where("nb_id < station_id")
-        dist = F.sqrt(F.pow(F.col("lat") - F.col("nb_lat"), 2) + F.pow(F.col("lon") - F.col("nb_lon"), 2))
+        near = near.select("station_id", "nb_id", F.sqrt(F.pow(c("lat") - c("nb_lat"), 2) + F.pow(c("lon") - c("nb_lon"), 2)).alias("dist"))
+        near = near if carried is None else near.unionByName(carried)
         order = Window.partitionBy("station_id").orderBy("dist", "nb_id")
-        top = near.withColumn("dist", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        top = stored(top.select("station_id", "nb_id", "rank", "dist"), "knn-top")
-        all_seen = extent[0] is None or _covers(pending, extent, ring)
-        full = top.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far")).where((F.col("n") == k) & (F.col("far") <= ring * cell))
-        ready = top if all_seen else top.join(full.select("station_id"), "station_id", "left_semi")
-        done = ready if done is None else done.unionByName(ready)
-        if all_seen:
-            return done.select("station_id", "nb_id", F.col("rank").cast("int").alias("rank"), "dist")
-        pending = stored(pending.join(full.select("station_id"), "station_id", "left_anti"), "knn-pending")
-        if pending.isEmpty():
-            return done.select("station_id", "nb_id", F.col("rank").cast("int").alias("rank"), "dist")
-        ring *= 2
-
-
-def _covers(pending: DataFrame, extent, ring: int) -> bool:
-    """Whether every pending query's rings hold the whole extent."""
-    e = pending.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    return e[0] is None or (e[1] - ring <= extent[0] and e[0] + ring >= extent[1] and e[3] - ring <= extent[2] and e[2] + ring >= extent[3])
-
-
-def knn_self(stations: DataFrame, k: int, cell: float = 0.25) -> DataFrame:
+        top = stored(near.withColumn("rank", F.row_number().over(order)).where(c("rank") <= k), "knn-top")
+        seen = top.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("far"))
+        ready = (c("whole") <= ring) | F.coalesce((c("n") == k) & (c("far") <= ring * cell), F.lit(False))
+        left = stored(pending.join(seen, "station_id", "left").where(~ready).select(*pending.columns), "knn-pending")
+        last = left.isEmpty()
+        part = top if last else top.join(left.select("station_id"), "station_id", "left_anti")
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done.select("station_id", "nb_id", c("rank").cast("int").alias("rank"), "dist")
+        carried = top.join(left.select("station_id"), "station_id", "left_semi").select("station_id", "nb_id", "dist")
+        pending, old, ring = left, ring, ring * GROWTH
+
+
+def knn_self(stations: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     return knn_ref(stations, stations, k, cell, exclude_same=True)
 
 
-def knn_predecessors(stations: DataFrame, k: int, cell: float = 0.25) -> DataFrame:
+def knn_predecessors(stations: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The k nearest among stations of a smaller id."""
     return knn_ref(stations, stations, k, cell, before=True)
 

@@ -95,10 +95,7 @@ def kernel_knn(query: DataFrame, ref: DataFrame, k: int, constant: float = 1.0,
     whose cells hold about k points. Very far ones keep their order though their kernel is 0.
     """
     scaled = lambda d: d.select("station_id", (F.col("lat") / scales[0]).alias("lat"), (F.col("lon") / scales[1]).alias("lon"))
-    q, r = scaled(query), scaled(ref)
-    e = r.agg(F.count(F.lit(1)).alias("n"), (F.max("lat") - F.min("lat")).alias("high"), (F.max("lon") - F.min("lon")).alias("wide")).first()
-    cell = math.sqrt(max(e["high"] or 0.0, 1e-9) * max(e["wide"] or 0.0, 1e-9) * k / max(e["n"], 1))
-    near = knn_ref(q, r, k, cell, exclude_same=exclude_same)
+    near = knn_ref(scaled(query), scaled(ref), k, exclude_same=exclude_same)
     return near.select("station_id", "nb_id", "rank", (constant * F.exp(-F.col("dist") * F.col("dist") / 2)).alias("cov"))
 
 
@@ -133,3 +130,33 @@ def nngpr_predict(train: DataFrame, query: DataFrame, k: int, constant: float =
                 yield pd.DataFrame({"station_id": g["station_id"], "mean": m * sd + mean, "sd": np.sqrt(left) * sd})
 
     return _local(query, near, ref).mapInPandas(run, "station_id long, mean double, sd double")
+
+
+def nngp_weights(neighbors: DataFrame, stations: DataFrame, sigma2: float, tau2: float, ell: float = 1.0, m: int = 10, jitter: float = 1e-8) -> DataFrame:
+    """station_id, nb_id, w, variance: ordinary-kriging weights of the m nearest of each target's neighbours.
+
+    Coordinates are taken about all the given neighbours' centroid and over their median distance from it, so that ell,
+    the exponential covariance's length, has a scale. The variance is C(0) - w.c + lambda, 1e-12 at least.
+    """
+    places = stations.select(F.col("station_id").alias("nb_id"), "lat", "lon").withColumn("value", F.lit(0.0))
+    own = stations.join(neighbors.select("station_id").distinct(), "station_id", "left_semi")
+
+    def run(batches):
+        for pdf in batches:
+            for g, at in _by_size(pdf):
+                if not at.shape[1]:
+                    continue
+                radius = np.median(np.linalg.norm(at - at.mean(axis=1, keepdims=True), axis=2), axis=1) + 1e-12
+                at = at[:, :m] / radius[:, None, None]  # in order of rank: the nearest
+                n, k = at.shape[:2]
+                a = np.ones((n, k + 1, k + 1))
+                a[:, :k, :k] = sigma2 * np.exp(-_apart(at, at) / ell) + (tau2 + jitter) * np.eye(k)
+                a[:, k, k] = 0.0
+                c0 = sigma2 * np.exp(-np.linalg.norm(at, axis=2) / ell)
+                got = np.linalg.solve(a, np.concatenate([c0, np.ones((n, 1))], axis=1)[..., None])[..., 0]
+                w = got[:, :k]
+                left = np.maximum(sigma2 + tau2 - (w * c0).sum(axis=1) + got[:, k], 1e-12)
+                ids = np.concatenate([x[:k] for x in g["nb_id"]]).astype(np.int64)
+                yield pd.DataFrame({"station_id": np.repeat(g["station_id"].to_numpy(), k), "nb_id": ids, "w": w.ravel(), "variance": np.repeat(left, k)})
+
+    return _local(own, neighbors, places).mapInPandas(run, "station_id long, nb_id long, w double, variance double")

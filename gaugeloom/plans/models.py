@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, gaussian, interp, paths
+from ..operators import evaluate, gaussian, interp, learned, paths
 from . import more as M
 from . import queries as Q
 from . import views as V
@@ -86,14 +86,36 @@ def _nngp_fit(s: SparkSession, d: str) -> DataFrame:
     return rounded(s.createDataFrame([(*fit["beta"], fit["phi"], fit["variance"])], "constant double, slope double, phi double, variance double"), "constant", "slope", "phi", "variance")
 
 
-@query("nngp_predict", "stations nb series idw", f""", {NNGP}, ii AS (SELECT la.station_id, pos, r - coalesce(p, 0) * phi AS e FROM la, ph), uu AS (SELECT w.station_id, pos, sum(w.w * e) AS u FROM w JOIN ii ON ii.station_id = w.nb_id GROUP BY ALL)
+NNGP_WEIGHTS = f"""{NNGP}, va AS (SELECT phi, (rr - 2 * phi * rp + phi * phi * pp) / n AS v FROM ph), nn AS (SELECT nb.station_id, nb_id, rank, dist, s.lon AS x, s.lat AS y FROM nb JOIN stations s ON s.station_id = nb_id),
+ce AS (SELECT station_id, avg(x) AS mx, avg(y) AS my FROM nn GROUP BY ALL), ra AS (SELECT station_id, median(sqrt(pow(x - mx, 2) + pow(y - my, 2))) + 1e-12 AS r FROM nn JOIN ce USING (station_id) GROUP BY ALL),
+tw AS (SELECT a.station_id, a.nb_id AS n1, b.nb_id AS n2, v, 0.8::DOUBLE * v * exp(-a.dist / r) AS c1, 0.8::DOUBLE * v * exp(-b.dist / r) AS c2, 0.8::DOUBLE * v * exp(-sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) / r) AS c12 FROM nn a JOIN nn b ON b.station_id = a.station_id AND a.rank = 1 AND b.rank = 2 JOIN ra ON ra.station_id = a.station_id, va),
+wk AS (SELECT *, 0.5 + (c1 - c2) / (2 * (v + 1e-8 - c12)) AS w1 FROM tw), wn AS (SELECT station_id, n1 AS nb_id, w1 AS w, v - w1 * c1 - (1 - w1) * c2 + c1 - w1 * (v + 1e-8) - (1 - w1) * c12 AS variance FROM wk UNION ALL SELECT station_id, n2, 1 - w1, v - w1 * c1 - (1 - w1) * c2 + c1 - w1 * (v + 1e-8) - (1 - w1) * c12 FROM wk)"""
+
+
+def _nngp(s: SparkSession, d: str, m: int) -> tuple[DataFrame, dict, DataFrame]:
+    x = _trended(s, d)
+    fit = gaussian.nngp_fit(x, ["one", "elevation"])
+    w = learned.nngp_weights(Q.neighbors(s, d), V.stations(s, d), fit["sigma2"], fit["tau2"], fit["ell"], m)
+    return x, fit, Q.stored(w, "nngp-weights")
+
+
+query("nngp_weights", "stations nb series", f", {NNGP_WEIGHTS} SELECT station_id, nb_id, round(w, 6) + 0.0 AS w, round(greatest(variance, 1e-12), 6) + 0.0 AS variance FROM wn")(lambda s, d: rounded(_nngp(s, d, 2)[2], "w", "variance"))
+
+
+@query("nngp_predict", "stations nb series", f""", {NNGP_WEIGHTS}, ii AS (SELECT la.station_id, pos, r - coalesce(p, 0) * phi AS e FROM la, ph), uu AS (SELECT w.station_id, pos, sum(w.w * e) AS u FROM wn w JOIN ii ON ii.station_id = w.nb_id GROUP BY ALL)
 SELECT a.station_id, CAST(a.pos AS BIGINT) AS pos, round(any_value(r.trend) + sum(pow((SELECT phi FROM ph), a.pos - b.pos) * b.u), 6) + 0.0 AS out FROM uu a JOIN uu b ON b.station_id = a.station_id AND b.pos <= a.pos JOIN re r ON r.station_id = a.station_id AND r.pos = a.pos GROUP BY ALL""")
 def _nngp_predict(s: SparkSession, d: str) -> DataFrame:
-    x = _trended(s, d)
-    return rounded(gaussian.nngp_predict(x, interp.idw_weights(Q.neighbors(s, d)), gaussian.nngp_fit(x, ["one", "elevation"])), "out")
+    x, fit, w = _nngp(s, d, 2)
+    return rounded(gaussian.nngp_predict(x, w.select("station_id", "nb_id", "w"), fit), "out")
+
+
+@query("nngp_predict_many")
+def _nngp_many(s: SparkSession, d: str) -> DataFrame:
+    x, fit, w = _nngp(s, d, 10)
+    return rounded(gaussian.nngp_predict(x, w.select("station_id", "nb_id", "w"), fit), "out")
 
 
-query("rain_response")(lambda s, d: rounded(gaussian.rain_response(V.series(s, d).withColumn("rain", F.abs("value")), "value", "rain"), "coef"))
+query("rain_response")(lambda s, d: rounded(gaussian.rain_response(V.series(s, d).join(V.rain(s, d).withColumnRenamed("value", "rain"), ["station_id", "pos"]), "value", "rain"), "coef"))
 query("oracle_weights")(lambda s, d: rounded(gaussian.oracle_weights(Q.neighbors(s, d), V.series(s, d)), "w"))
 for _name, _drift in (("kriging_linear", False), ("universal_kriging", True)):
     query(_name)(lambda s, d, drift=_drift: rounded(interp.weights_apply(interp.linear_variogram_kriging(Q.neighbors(s, d), V.stations(s, d), V.series(s, d), drift), V.series(s, d)), "out"))

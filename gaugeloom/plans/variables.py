@@ -18,12 +18,6 @@ from .queries import query, rounded
 RAIN = """rain AS (SELECT s.station_id, s.pos, coalesce(r, 0) AS value FROM series s LEFT JOIN (SELECT o_custkey % 500 AS station_id, dayofyear(o_orderdate) % 64 AS pos, round(avg(o_totalprice) / 100000, 4) AS r FROM orders GROUP BY ALL) o ON o.station_id = s.station_id AND o.pos = s.pos)"""
 
 
-def rain(s: SparkSession, d: str) -> DataFrame:
-    o = s.read.parquet(f"{d}/orders.parquet")
-    r = o.groupBy((F.col("o_custkey") % 500).alias("station_id"), (F.dayofyear("o_orderdate") % 64).alias("pos")).agg(F.round(F.avg("o_totalprice") / 100000, 4).alias("r"))
-    return V.series(s, d).select("station_id", "pos").join(r, ["station_id", "pos"], "left").select("station_id", "pos", F.coalesce("r", F.lit(0.0)).alias("value"))
-
-
 def _levels(s: SparkSession, d: str) -> DataFrame:
     """Series with gaps: one step in eleven is missing, by station and step."""
     return V.series(s, d).withColumn("value", F.when((F.col("station_id") + F.col("pos")) % 11 != 0, F.col("value")))
@@ -41,9 +35,9 @@ def _sides(n: int) -> str:
 query("cokriging", "stations nb series", f""", {RAIN}, {_sides(2)}, cc AS (SELECT *, exp(-0.75 * h1) AS r1, exp(-0.75 * h2) AS r2, exp(-0.75 * h12) AS r, 0.5 * sqrt(2.0) AS x FROM ge),
 qf AS (SELECT *, 2 * (2.1 + 1e-10 - 2 * r) AS pp, 2 * (1.05 + 1e-10 - r) AS qq, 2 * x * (1 - r) AS pq, 2 * (r1 - r2) - (2 * r - 2.1 - 1e-10) AS ep, x * (r1 - r2) - x * (r - 1) AS eq FROM cc), ww AS (SELECT *, (ep * qq - eq * pq) / (pp * qq - pq * pq) AS a, (eq * pp - ep * pq) / (pp * qq - pq * pq) AS b FROM qf)
 SELECT w.station_id, y1.pos, round(a * y1.value + (1 - a) * y2.value + b * d1.value - b * d2.value, 4) + 0.0 AS out FROM ww w JOIN series y1 ON y1.station_id = n1 JOIN series y2 ON y2.station_id = n2 AND y2.pos = y1.pos JOIN rain d1 ON d1.station_id = n1 AND d1.pos = y1.pos JOIN rain d2 ON d2.station_id = n2 AND d2.pos = y1.pos""")(
-    lambda s, d: rounded(drift.cokriging(Q.neighbors(s, d).where("rank <= 2"), V.stations(s, d), V.series(s, d), rain(s, d), kind="exponential", nugget1=0.1, nugget2=0.05, collocated=False), "out", digits=4)
+    lambda s, d: rounded(drift.cokriging(Q.neighbors(s, d).where("rank <= 2"), V.stations(s, d), V.series(s, d), V.rain(s, d), kind="exponential", nugget1=0.1, nugget2=0.05, collocated=False), "out", digits=4)
 )
-query("cokriging_collocated")(lambda s, d: rounded(drift.cokriging(Q.neighbors(s, d), V.stations(s, d), V.series(s, d), rain(s, d), nugget1=0.1, nugget2=0.1), "out"))
+query("cokriging_collocated")(lambda s, d: rounded(drift.cokriging(Q.neighbors(s, d), V.stations(s, d), V.series(s, d), V.rain(s, d), nugget1=0.1, nugget2=0.1), "out"))
 
 
 def _schur(cov: str, variance: str, levels: str, ridge: str, drift_of: str) -> str:
@@ -72,13 +66,13 @@ eo AS (SELECT *, {total("(b{i} - mu * a{i} - lam * e{i}) * y{i}")} AS best, {tot
 
 query("ked_interval", "stations nb series", f""", {RAIN}, {_sides(3)}, ex AS (SELECT station_id FROM ge), {_schur("0.9::DOUBLE * exp(-3 * {h} / 10)", "1.0::DOUBLE + 1e-6", "series", "1e-6", "z AS (SELECT *, d0 AS z0, d1 AS z1, d2 AS z2, d3 AS z3, 0 AS sd FROM tt)")}
 SELECT station_id, pos, round(best, 3) + 0.0 AS out, round(sqrt(greatest(0.9 - wc + mu + lam * z0, 0)), 3) + 0.0 AS sd FROM eo WHERE greatest(z1, z2, z3) > least(z1, z2, z3)""")(
-    lambda s, d: rounded(_wet(drift.ked_interval(Q.neighbors(s, d).where("rank <= 3"), V.stations(s, d), V.series(s, d), rain(s, d), "exponential", 1.0, 10.0, 0.1, 1e-6), s, d), "out", "sd", digits=3)
+    lambda s, d: rounded(_wet(drift.ked_interval(Q.neighbors(s, d).where("rank <= 3"), V.stations(s, d), V.series(s, d), V.rain(s, d), "exponential", 1.0, 10.0, 0.1, 1e-6), s, d), "out", "sd", digits=3)
 )
 
 
 def _wet(out: DataFrame, s: SparkSession, d: str) -> DataFrame:
     """Steps at which rain isn't the same at all three neighbours: elsewhere the ridge alone decides, and rounding errors show."""
-    r = rain(s, d).select(F.col("station_id").alias("nb_id"), "pos", "value")
+    r = V.rain(s, d).select(F.col("station_id").alias("nb_id"), "pos", "value")
     same = Q.neighbors(s, d).where("rank <= 3").join(r, "nb_id").groupBy("station_id", "pos").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     return out.join(same.where("low < high").select("station_id", "pos"), ["station_id", "pos"], "left_semi")
 
@@ -88,9 +82,9 @@ FROM (SELECT *, (d1 + d2 + d3) / 3 AS m, list_stddev_pop([d1, d2, d3]) AS sd FRO
 query("ked_fast", "stations nb series", f""", {RAIN}, {_sides(3)}, ex AS (SELECT station_id, 0.1::DOUBLE * greatest(median(v), 1e-6) AS extra FROM (SELECT ge.station_id, pos, var_pop(value) AS v FROM ge JOIN series s ON s.station_id IN (n1, n2, n3) GROUP BY ALL) GROUP BY ALL),
 {_schur("2 * exp(-pi() / 4 * pow({h} / 4, 2))", "2 + extra + 1e-10", "series", "0", NORM)}
 SELECT station_id, pos, round(CASE WHEN sd < 1e-6 OR abs(dd) < 1e-10 THEN (y1 / h1 + y2 / h2 + y3 / h3) / (1 / h1 + 1 / h2 + 1 / h3 + 1e-12) ELSE best END, 4) + 0.0 AS out, sd < 1e-6 OR abs(dd) < 1e-10 AS fallback FROM eo""".replace("list_stddev_pop([d1, d2, d3])", "sqrt((pow(d1 - (d1 + d2 + d3) / 3, 2) + pow(d2 - (d1 + d2 + d3) / 3, 2) + pow(d3 - (d1 + d2 + d3) / 3, 2)) / 3)"))(
-    lambda s, d: rounded(drift.ked_fast(Q.neighbors(s, d).where("rank <= 3"), V.stations(s, d), V.series(s, d), rain(s, d)), "out", digits=4)
+    lambda s, d: rounded(drift.ked_fast(Q.neighbors(s, d).where("rank <= 3"), V.stations(s, d), V.series(s, d), V.rain(s, d)), "out", digits=4)
 )
-query("ked_fast_gaps")(lambda s, d: rounded(drift.ked_fast(Q.neighbors(s, d), V.stations(s, d), _levels(s, d), rain(s, d), lag=1, smooth=3), "out"))
+query("ked_fast_gaps")(lambda s, d: rounded(drift.ked_fast(Q.neighbors(s, d), V.stations(s, d), _levels(s, d), V.rain(s, d), lag=1, smooth=3), "out"))
 
 # Frozen models: a few fixed numbers as layers
 

@@ -43,3 +43,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = li.select(F.col("l_suppkey").alias("station_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (20 * F.col("l_tax") - 0.8).alias("tgt"), "l_discount", "l_quantity")
     out = F.array(F.struct(F.lit("a").alias("method"), (F.col("tgt") + (F.col("l_discount") - 0.05) * 8).alias("out")), F.struct(F.lit("b").alias("method"), (F.col("tgt") + (F.col("l_quantity") - 25) / 50).alias("out")))
     return base.withColumn("m", F.explode(out)).select("m.method", "station_id", "pos", "tgt", "m.out")
+
+
+def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second variable at the places and steps of series: orders of customers by day of the year, 0 where there are none."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    r = o.groupBy((F.col("o_custkey") % 500).alias("station_id"), (F.dayofyear("o_orderdate") % 64).alias("pos")).agg(F.round(F.avg("o_totalprice") / 100000, 4).alias("r"))
+    return series(spark, sf_dir).select("station_id", "pos").join(r, ["station_id", "pos"], "left").select("station_id", "pos", F.coalesce("r", F.lit(0.0)).alias("value"))

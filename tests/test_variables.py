@@ -153,3 +153,16 @@ def test_nngpr(spark, normalize):
             c0 = kernel(p[None], x[on])[0]
             b = np.linalg.solve(kernel(x[on], x[on]) + 0.01 * np.eye(len(on)), c0)
             assert np.isclose(got[100 + i].mean, m + s * (b @ ((y[on] - m) / s))) and np.isclose(got[100 + i].sd, s * np.sqrt(max(1.5 - b @ c0, 0)))
+
+
+def test_nngp_weights(spark):
+    """The m nearest in coordinates about all neighbours' centroid, against the whole system."""
+    st, nb, at, _, _, far, near = some(spark, k=6)
+    got = {(r.station_id, r.nb_id): r for r in learned.nngp_weights(nb, st, 0.8, 0.2, 1.0, 3).collect()}
+    assert len(got) == sum(min(3, len(js)) for js in near)
+    for i, js in enumerate(near):
+        radius = np.median(np.linalg.norm(at[js] - at[js].mean(axis=0), axis=1))
+        on = js[:3]
+        h, h0 = far[np.ix_(on, on)] / radius, far[i, on] / radius
+        w, lam = augmented(0.8 * np.exp(-h) + (0.2 + 1e-8) * np.eye(3), 0.8 * np.exp(-h0), np.ones((3, 1)), np.ones(1))
+        assert np.allclose([got[i, j].w for j in on], w) and np.allclose([got[i, j].variance for j in on], 1.0 - w @ (0.8 * np.exp(-h0)) + lam)
