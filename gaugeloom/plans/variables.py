@@ -15,7 +15,7 @@ from .queries import query, rounded
 
 # Rain of a station and step: orders of customers by day of the year; most steps are dry
 
-RAIN = """rain AS (SELECT s.station_id, s.pos, coalesce(r, 0) AS value FROM series s LEFT JOIN (SELECT o_custkey % 500 AS station_id, dayofyear(o_orderdate) % 64 AS pos, round(avg(o_totalprice) / 100000, 4) AS r FROM orders GROUP BY ALL) o ON o.station_id = s.station_id AND o.pos = s.pos)"""
+RAIN = """rain AS (SELECT s.station_id, s.pos, coalesce(r, 0) AS value FROM series s LEFT JOIN (SELECT o_custkey % 500 AS station_id, dayofyear(o_orderdate) % 64 AS pos, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 1e7) AS r FROM orders GROUP BY ALL) o ON o.station_id = s.station_id AND o.pos = s.pos)"""
 
 
 def _levels(s: SparkSession, d: str) -> DataFrame:

@@ -46,7 +46,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second variable at the places and steps of series: orders of customers by day of the year, 0 where there are none."""
+    """A second variable at the places and steps of series: mean price of orders by customer and day of the year, 0 where there are none. Sums are of whole cents, so that their order doesn't count."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    r = o.groupBy((F.col("o_custkey") % 500).alias("station_id"), (F.dayofyear("o_orderdate") % 64).alias("pos")).agg(F.round(F.avg("o_totalprice") / 100000, 4).alias("r"))
+    r = o.groupBy((F.col("o_custkey") % 500).alias("station_id"), (F.dayofyear("o_orderdate") % 64).alias("pos")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / (F.count(F.lit(1)) * 1e7)).alias("r"))
     return series(spark, sf_dir).select("station_id", "pos").join(r, ["station_id", "pos"], "left").select("station_id", "pos", F.coalesce("r", F.lit(0.0)).alias("value"))

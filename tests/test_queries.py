@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions import scalars
 from gaugeloom.operators import clean, evaluate, graph, interp, joins, raster, timeseries
-from gaugeloom.plans import files, grids, models, more, network, queries, variables  # noqa: F401  the others register theirs
+from gaugeloom.plans import files, grids, models, more, network, queries, samples, variables  # noqa: F401  the others register theirs
 from tests import oracle
 
 SF = "/root/testdata/sf0.001"
