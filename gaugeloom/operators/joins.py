@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame
@@ -177,3 +178,39 @@ def line_within(points: DataFrame, lines: DataFrame, buffer_km: float, cell: flo
     km = point_segment_km(ecef(F.col("lat"), F.col("lon")), ecef(F.col("lat1"), F.col("lon1")), ecef(F.col("lat2"), F.col("lon2")))
     best = near.withColumn("km", km).where(F.col("km") <= buffer_km).groupBy("station_id").agg(F.min(F.struct("km", "line_id")).alias("b"))
     return points.select("station_id").join(best, "station_id", "left").select("station_id", "b.line_id", "b.km")
+
+
+def kgrow(stations: DataFrame, seed: int, n: int, progress: list | None = None) -> DataFrame:
+    """station_id, ord, dist: n stations grown from the seed (ord 0), each the nearest to those before it (dist; ties by id).
+
+    Of the n stations nearest to a chosen one, one at least isn't chosen yet, so the chosen ones' lists of n neighbours are
+    all that the order depends on. They are looked up for many candidates at once, and the order goes on until it needs a list that
+    isn't there: few look-ups instead of n rounds, of n * n rows each at most. n is a small number, whatever the table's size.
+    Without the seed the result is empty. progress: takes the number of stations of each look-up.
+    """
+    spark, lists = stations.sparkSession, {}
+    chosen: list[tuple[int, int, float | None]] = []
+    want = {seed} if not stations.where(F.col("station_id") == seed).isEmpty() else set()
+    while want:
+        if progress is not None:
+            progress.append(len(want))
+        for r in knn_ref(stations.where(F.col("station_id").isin(sorted(want))), stations, n, exclude_same=True).collect():  # n rows each
+            lists.setdefault(r["station_id"], []).append((r["dist"], r["nb_id"]))
+        for i in want:
+            lists.setdefault(i, [])
+        chosen, taken, heap, want = [(seed, 0, None)], {seed}, list(lists[seed]), set()
+        heapq.heapify(heap)
+        while len(chosen) < n and heap:
+            dist, i = heapq.heappop(heap)
+            if i in taken:
+                continue
+            taken.add(i)
+            chosen.append((i, len(chosen), dist))
+            if len(chosen) == n:
+                break
+            if i not in lists:  # and those that may well come next
+                want = {i} | {x for _, x in heapq.nsmallest(n, heap) if x not in lists and x not in taken}
+                break
+            for entry in lists[i]:
+                heapq.heappush(heap, entry)
+    return spark.createDataFrame(chosen[:n], "station_id long, ord int, dist double")

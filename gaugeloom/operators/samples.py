@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,7 +67,7 @@ def split_by_cluster(stations: DataFrame, neighbors: DataFrame, clusters: int, t
     placed = VectorAssembler(inputCols=["lat", "lon"], outputCol="place").transform(stations)
     told = KMeans(k=clusters, seed=seed, featuresCol="place", predictionCol="found").fit(placed).transform(placed)
     told = told.select("station_id", F.col("found").alias("cluster"))
-    chosen = sorted(range(clusters), key=lambda c: (hash((seed, c)), c))[:train]
+    chosen = sorted(range(clusters), key=lambda c: hashlib.md5(f"{seed}:{c}".encode()).hexdigest())[:train]
     return split_from_labels(told, neighbors, chosen)
 
 

@@ -183,3 +183,9 @@ def _true_direction(s: SparkSession, d: str) -> DataFrame:
     edges, nodes = _network(s, d)
     out = rivers.simplify_true_direction(paths, nb, st.select("station_id", F.col("lon").alias("x"), F.col("lat").alias("y")), nodes, edges)
     return rounded(out, "mean", "std", "least", "most", "median", "forward", "back").distinct()
+
+
+# Growing a region
+
+query("kgrow", "stations", f""", gr AS (SELECT 0 AS ord, [7::BIGINT] AS sel, NULL::DOUBLE AS dist UNION ALL SELECT ord + 1, list_append(sel, nx.i), nx.d FROM (SELECT ord, sel, (SELECT min((d, i)) FROM (SELECT {M._between("a", "b")} AS d, b.station_id AS i FROM stations a JOIN stations b ON list_contains(gr.sel, a.station_id) AND NOT list_contains(gr.sel, b.station_id))) AS n FROM gr WHERE ord < 11) t, (SELECT t.n[1] AS d, t.n[2] AS i) nx)
+SELECT sel[-1] AS station_id, CAST(ord AS INT) AS ord, round(dist, 6) AS dist FROM gr""")(lambda s, d: rounded(Q.joins.kgrow(V.stations(s, d), 7, 12), "dist"))

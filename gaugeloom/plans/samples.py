@@ -68,13 +68,13 @@ query("one_week", "stations nb series", f", {PAIRS} SELECT station_id, CAST(arg_
 
 
 @query("training_samples", "stations nb series", f""", {PAIRS}, {RAIN}, gm AS (SELECT station_id, median(value) AS med FROM gs GROUP BY ALL)
-SELECT p.station_id, CAST(o.week AS INT) AS week, o.pos, nb_id, rank, round(v.value - n.med, 6) + 0.0 AS x, v.value > 0 AS valid, round(n.med, 6) + 0.0 AS es, round(o.value - m.med, 6) + 0.0 AS y, round(r.value, 6) + 0.0 AS rain, round(q.value, 6) + 0.0 AS nb_rain
+SELECT p.station_id, CAST(o.week AS INT) AS week, o.pos, nb_id, rank, round(v.value - n.med, 6) + 0.0 AS x, v.value > 0 AS valid, round(n.med, 6) + 0.0 AS es, round(o.value - m.med, 6) + 0.0 AS y, r.value AS rain, q.value AS nb_rain
 FROM pa p JOIN gs o ON o.station_id = p.station_id JOIN sh ON sh.station_id = o.station_id AND sh.week = o.week JOIN gs v ON v.station_id = nb_id AND v.week = o.week AND v.pos = o.pos JOIN gm m ON m.station_id = p.station_id JOIN gm n ON n.station_id = nb_id
 LEFT JOIN rain r ON r.station_id = p.station_id AND r.pos = o.week * 16 + o.pos LEFT JOIN rain q ON q.station_id = nb_id AND q.pos = o.week * 16 + o.pos""")
 def _samples(s: SparkSession, d: str) -> DataFrame:
     g = _good(s, d)
     p = _pairs(s, d, g)
-    return rounded(training.training_samples(g, p, training.shared_weeks(g, p), _weekly(V.rain(s, d))), "x", "es", "y", "rain", "nb_rain")
+    return rounded(training.training_samples(g, p, training.shared_weeks(g, p), _weekly(V.rain(s, d))), "x", "es", "y")
 
 
 # Profiles: a path of cells for every station with a third of them missing; the cells' slope is a column's difference

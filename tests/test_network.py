@@ -6,7 +6,7 @@ from collections import defaultdict, deque
 import numpy as np
 import pytest
 
-from gaugeloom.operators import graph, lines, rivers
+from gaugeloom.operators import graph, joins, lines, rivers
 
 VERTEX = "line_id long, seq int, x double, y double"
 
@@ -192,3 +192,30 @@ def test_station_paths_and_true_directions(spark):
     assert np.isclose(into.forward, 2**0.5) and np.isclose(into.back, 0.1) and (into.least, into.most, into.mean, into.median) == (5.0, 6.0, 5.5, 5.5)
     assert np.isclose(other.forward, 0) and np.isclose(other.back, 0.1 + 2**0.5) and (other.least, other.most) == (8.0, 8.0)
     assert np.isclose(last.forward, 1) and np.isclose(last.back, 0.1) and np.isclose(last.std, 0.5) and (last.least, last.most) == (3.0, 4.0)
+
+
+def test_nearest_neighbours_far_and_near(spark):
+    """Clusters, outliers, one place many times, few points: against all distances."""
+    rnd = random.Random(8)
+    at = [(rnd.gauss(0, 0.01), rnd.gauss(0, 0.01)) for _ in range(150)] + [(rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for _ in range(30)] + [(3.0, 3.0)] * 9 + [(1000.0, -1000.0)]
+    st = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "station_id long, lat double, lon double").repartition(3)
+    far = lambda i, j: ((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2) ** 0.5
+    for df, ok in ((joins.knn_self(st, 4), lambda i, j: i != j), (joins.knn_predecessors(st, 3), lambda i, j: j < i), (joins.knn_ref(st, st.limit(0), 3), lambda i, j: False), (joins.knn_ref(st.where("station_id > 180"), st.where("station_id < 2"), 5), lambda i, j: i > 180 and j < 2)):
+        k = 3 if df.columns and ok(1, 0) and not ok(0, 1) else 4 if ok(0, 1) else 5
+        got = defaultdict(list)
+        for r in sorted(df.collect(), key=lambda r: (r.station_id, r["rank"])):
+            got[r.station_id].append(r.nb_id)
+        for i in range(len(at)):
+            assert got.get(i, []) == [j for _, j in sorted((far(i, j), j) for j in range(len(at)) if ok(i, j))[:k]]
+
+
+def test_kgrow(spark):
+    rnd = random.Random(2)
+    at = {i: (rnd.uniform(0, 1), rnd.uniform(0, 1)) for i in range(60)} | {60: (0.5, 0.5), 61: (0.5, 0.5)}
+    st = spark.createDataFrame([(i, *p) for i, p in at.items()], "station_id long, lat double, lon double")
+    order, progress = [60], []
+    while len(order) < 25:
+        order.append(min((((at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2) ** 0.5, b) for a in order for b in at if b not in order)[1])
+    assert [r.station_id for r in sorted(joins.kgrow(st, 60, 25, progress).collect(), key=lambda r: r.ord)] == order
+    assert len(progress) <= 8
+    assert joins.kgrow(st, 999, 5).collect() == [] and joins.kgrow(st.limit(1), st.first().station_id, 5).count() == 1
