@@ -233,7 +233,11 @@ def masked_mse(pred: DataFrame) -> DataFrame:
 
 def paired_ttest_p(pred: DataFrame, a: str, b: str) -> DataFrame:
     """paired_ttest with the two-sided p of each bin: as many rows as bins."""
-    p = F.udf(lambda t, n: None if t is None or n < 2 else t_p_value(t, n - 1), "double")
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if np.isnan(x) or m < 2 else t_p_value(x, m - 1) for x, m in zip(t, n)], dtype=float)
+
     return paired_ttest(pred, a, b).withColumn("p", p("t", "n"))
 
 

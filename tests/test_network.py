@@ -1,12 +1,13 @@
 """Lines, components and river paths against walks in plain Python."""
 
+import math
 import random
 from collections import defaultdict, deque
 
 import numpy as np
 import pytest
 
-from gaugeloom.operators import graph, joins, lines, rivers
+from gaugeloom.operators import graph, joins, lines, paths, rivers
 
 VERTEX = "line_id long, seq int, x double, y double"
 
@@ -219,3 +220,30 @@ def test_kgrow(spark):
     assert [r.station_id for r in sorted(joins.kgrow(st, 60, 25, progress).collect(), key=lambda r: r.ord)] == order
     assert len(progress) <= 8
     assert joins.kgrow(st, 999, 5).collect() == [] and joins.kgrow(st.limit(1), st.first().station_id, 5).count() == 1
+
+
+def test_nearest_line(spark):
+    """A long coast of short segments, long segments, points inland and on lines, against all segments."""
+    rnd = random.Random(4)
+    coast = [(1 + i % 7, 45 + 0.02 * i, 3 + 0.3 * math.sin(i / 9), 45 + 0.02 * (i + 1), 3 + 0.3 * math.sin((i + 1) / 9)) for i in range(400)]
+    long = [(20, 40.0, -5.0, 42.0, 12.0), (21, 58.0, -9.0, 59.0, 14.0), (22, 50.0, 8.0, 50.0, 8.0), (5, 45.0, 3.0, 45.0, 3.0)]
+    seg = coast + long
+    spots = [(rnd.uniform(38, 60), rnd.uniform(-8, 14)) for _ in range(120)] + [(45.0, 3.0), (50.0, 8.0), (49.0, 3.05), (20.0, 40.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "station_id long, lat double, lon double").repartition(3)
+    lines_of = spark.createDataFrame([tuple(map(float, x)) for x in seg], "line_id double, lat1 double, lon1 double, lat2 double, lon2 double").selectExpr("cast(line_id as long) line_id", "lat1", "lon1", "lat2", "lon2")
+
+    def place(lat, lon):
+        la, lo = np.radians(lat), np.radians(lon)
+        return 6371.0 * np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=-1)
+
+    s = np.array(seg)
+    a, b = place(s[:, 1], s[:, 2]), place(s[:, 3], s[:, 4])
+    got = {r.station_id: r for r in paths.nearest_line(df, lines_of).collect()}
+    assert len(got) == len(spots)
+    for i, (lat, lon) in enumerate(spots):
+        p, ab = place(lat, lon), b - a
+        d = (ab**2).sum(axis=1)
+        t = np.clip(np.where(d > 0, ((p - a) * ab).sum(axis=1) / np.where(d > 0, d, 1), 0), 0, 1)
+        km = np.linalg.norm(p - a - t[:, None] * ab, axis=1)
+        assert abs(got[i].km - km.min()) < 1e-6 and abs(km[s[:, 0] == got[i].line_id].min() - km.min()) < 1e-6
+    assert [tuple(r) for r in paths.nearest_line(df.where("station_id = 3"), lines_of.limit(0)).collect()] == [(3, None, None)]
