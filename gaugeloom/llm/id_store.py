@@ -12,13 +12,18 @@ root, chunk digests), the recipes in ascending doc_id order, a file for each ran
 
 from __future__ import annotations
 
+import codecs
+import gc
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,22 +64,37 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+#: Byte-level vocabularies write the n-th byte that isn't printable as the character 256 + n. Here a line feed parts words, which have none.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_ODD_BYTES = [b for b in range(256) if b not in _PRINTABLE]
+BYTE_NAMES = "".join(" " if b == 0x0A else chr(b) if b in _PRINTABLE else chr(256 + _ODD_BYTES.index(b)) for b in range(256))
+#: Words of these letters are one piece to the file's pattern, with the space before them; marks after them are another.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+#: Ids that are put together at once.
+AT_ONCE = 1 << 18
+
+
 def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """A maker of encoders with the tokenizers library and a byte-level BPE file.
 
     Texts are cut before single spaces and line feeds between non-blank characters, where the file's
-    pattern always begins a new piece; equal pieces are encoded once and kept in a bounded cache.
+    pattern always begins a new piece; equal pieces are encoded once and kept in a bounded cache. A
+    batch's pieces are made distinct in Arrow, and its ids are put together from theirs in numpy.
     """
 
     def make():
         if path in _ENCODERS:
             return _ENCODERS[path]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        gc.disable()  # what a worker remembers has no cycles, and looking for some takes as long as encoding
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tok = Tokenizer.from_file(path)
+        lettered = Tokenizer(tok.model)  # for words of letters alone, in the vocabulary's characters
+        lettered.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         wide = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-        first: dict[str, bytes] = {}  # pieces at the start of a text
+        first: dict[str, bytes] = {}  # pieces at the start of a text, and marks that follow letters
         later: dict[str, bytes] = {}  # pieces that follow a space; the space is left off
 
         spaced = np.zeros(tok.get_vocab_size(), bool)
@@ -83,36 +103,80 @@ def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.nda
         broken[[i for t, i in tok.get_vocab().items() if t == "\u010a"]] = True  # the line feed's own token
         width = np.dtype(wide).itemsize
 
-        def in_a_row(known: dict[str, bytes], part: list[str], lead: str, begins: np.ndarray) -> None:
+        def whole_batch(text: str) -> list[int]:
+            return tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+        def by_letters(text: str) -> list[int]:
+            named = codecs.charmap_decode(text.replace(" ", "\n ").encode(), "strict", BYTE_NAMES)[0]
+            return lettered.encode_batch_fast([named], add_special_tokens=False)[0].ids
+
+        def in_a_row(known: dict[str, bytes], part: list[str], lead: str, begins: np.ndarray, ids_of=whole_batch) -> None:
             """Encode pieces joined: each begins with the only token in it that `begins` marks, else none is taken."""
             for i in range(0, len(part), 2_000):
                 some = part[i : i + 2_000]
-                ids = np.array(tok.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, wide)
+                ids = np.array(ids_of(lead + lead.join(some)), wide)
                 ends = np.flatnonzero(begins[ids])
                 if len(ends) == len(some) and ends[0] == 0:
                     whole, at = ids.tobytes(), [*(ends * width).tolist(), len(ids) * width]
                     known.update(zip(some, [whole[a:b] for a, b in zip(at, at[1:])]))
 
-        def learn(known: dict[str, bytes], new: list[str], lead: str) -> None:
-            if lead:
-                in_a_row(known, [p for p in new if " " not in p and "\n" not in p], lead, spaced)
-                in_a_row(known, [p for p in new if p[0] == "\n" and " " not in p and "\n" not in p[1:]], "", broken)
+        def alone(known: dict[str, bytes], new: Iterable[str], lead: str) -> None:
             for p in new:
                 if p not in known:  # a piece that begins with a line feed follows no space
                     known[p] = np.array(tok.encode(p if p[:1] == "\n" else lead + p, add_special_tokens=False).ids, wide).tobytes()
 
+        def learn_later(new: list[str]) -> None:
+            cores = [p.rstrip(MARKS) for p in new]
+            worded = [LETTERS.fullmatch(c) is not None for c in cores]
+            in_a_row(later, [c for c in set(compress(cores, worded)) if c not in later], " ", spaced, by_letters)
+            marked = [(p, c, p[len(c) :]) for p, c, w in zip(new, cores, worded) if w and p is not c]
+            alone(first, {m for _, _, m in marked if m}, "")
+            later.update([(p, later[c] + first[m]) for p, c, m in marked if c in later and m])
+            rest = [p for p in new if p not in later]
+            in_a_row(later, [p for p in rest if " " not in p and "\n" not in p], " ", spaced)
+            in_a_row(later, [p for p in rest if p[0] == "\n" and " " not in p and "\n" not in p[1:]], "", broken)
+            alone(later, rest, " ")
+
         def encode(texts: list[str]) -> list[np.ndarray]:
-            cut = [_pieces(t) for t in texts]
-            heads = [c[0] for c in cut]
-            for c in cut:
-                del c[0]
+            if not texts:
+                return []
+            cut = [_joined(t) for t in texts]  # pieces parted by spaces, or None where a piece holds one
+            plain = pc.split_pattern(pa.array([c for c in cut if c is not None], pa.string()), " ")
+            odd = [_pieces(t) for t, c in zip(texts, cut) if c is None]
+            words = pa.chunked_array([plain.flatten(), pa.array(chain.from_iterable(odd), pa.string())]).combine_chunks()
+            ends = np.cumsum(np.concatenate([np.diff(plain.offsets.to_numpy()), np.fromiter(map(len, odd), np.int64, len(odd))]))
+            heads_at = np.concatenate([[0], ends[:-1]])
+            heads = words.take(pa.array(heads_at)).to_numpy(zero_copy_only=False).tolist()
+            coded = words.dictionary_encode()
+            at, distinct = coded.indices.to_numpy(), len(coded.dictionary)
+            follows = np.ones(len(at), bool)
+            follows[heads_at] = False
+            used = np.zeros(distinct, bool)
+            used[at[follows]] = True
+            needed = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist()
             if len(later) + len(first) > CACHE:
                 later.clear()
                 first.clear()
-            learn(first, [p for p in set(heads) if p not in first], "")
-            learn(later, [p for p in set().union(*cut) if p not in later], " ")
-            get = later.__getitem__
-            out = [np.frombuffer(b"".join([first[h], *map(get, c)]), wide) for h, c in zip(heads, cut)]
+            alone(first, set(heads), "")
+            learn_later([p for p in needed if p not in later])
+            told = [*map(later.__getitem__, needed), *map(first.__getitem__, heads)]
+            place = (np.cumsum(used) - 1)[at]
+            place[heads_at] = len(needed) + np.arange(len(heads))
+            sizes = np.fromiter(map(len, told), np.int64, len(told)) // width
+            begins, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(told), wide)
+            out, a = [], 0
+            while a < len(ends):  # some texts at a time: an index for each id takes more room than the ids
+                begin = heads_at[a]
+                b = max(a + 1, int(np.searchsorted(ends, begin + AT_ONCE)))
+                own = place[begin : ends[b - 1]]
+                upto = np.cumsum(sizes[own])
+                row = ids[np.repeat(begins[own] - upto + sizes[own], sizes[own]) + np.arange(upto[-1])]
+                out += np.split(row, upto[ends[a : b - 1] - begin - 1])
+                a = b
+            if odd:
+                order = iter(np.argsort([c is None for c in cut], kind="stable").tolist())
+                by_text = dict(zip(order, out))
+                out = [by_text[i] for i in range(len(texts))]
             return out
 
         return _ENCODERS.setdefault(path, encode)
@@ -124,15 +188,23 @@ def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.nda
 _ENCODERS: dict[str, Callable] = {}
 
 
+def _joined(text: str) -> str | None:
+    """Text whose pieces are what spaces part, a line feed at the beginning of its piece; None where blanks meet."""
+    flat = text.replace("\n", " ")
+    if flat.isprintable() and "  " not in flat and not flat.startswith(" ") and not flat.endswith(" "):
+        return text.replace("\n", " \n")
+    return None
+
+
 def _pieces(text: str) -> list[str]:
     """Text cut at spaces between non-blank characters; each piece but the first has lost its space.
 
     Where blanks meet, the file's pattern looks across, so there is no cut. In texts without such
     places a line feed is a cut too, and stays at the beginning of its piece.
     """
-    flat = text.replace("\n", " ")
-    if flat.isprintable() and "  " not in flat and not flat.startswith(" ") and not flat.endswith(" "):
-        return text.replace("\n", " \n").split(" ")
+    joined = _joined(text)
+    if joined is not None:
+        return joined.split(" ")
     out = text.split(" ")
     whole = [out[0]]
     for p in out[1:]:

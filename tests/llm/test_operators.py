@@ -182,6 +182,45 @@ def ids_brute(rows):
     return out, start
 
 
+def test_id_store_sends_a_word_to_the_library_once(monkeypatch):
+    import tokenizers
+
+    real, sent = tokenizers.Tokenizer, []
+
+    class Counting:
+        def __init__(self, own):
+            self.__dict__["own"] = own if isinstance(own, real) else real(own)
+
+        from_file = staticmethod(lambda path: Counting(real.from_file(path)))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode(self, text, **options):
+            sent.append(text)
+            return self.own.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = real.from_file(path)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    monkeypatch.setattr(id_store, "_ENCODERS", {})
+    encode = id_store.library_encoder(path)()
+    words = ["laementqueon", "Schbeäößenau", "CIÓNASGALLES", "thwhlyorered"]
+    marked = [w + m + n for w in words for m in ("", ",", ".", "!!", "***") for n in ("", "&&&", "%%%", "')", "?\"", "_")]
+    assert encode(["a " + " ".join(marked)])[0].tolist() == plain.encode("a " + " ".join(marked)).ids
+    assert sum(map(len, sent)) < 0.5 * sum(map(len, marked))
+    odd = ["", "\n", " a", "a\n", "x\ny z", "foo's bar' foo's, l'é", "a\u00a0b c", "é<|endoftext|> e<|endoftext|>, f", "ſt' ª µº 1² 中, 中", "a  b, c,", "e\u0301, é,", *words]
+    for some in (odd, odd[::-1], [], odd[:1]):
+        assert [ids.tolist() for ids in encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_id_store(spark, docs, odd, none):
     encoder = id_store.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for table in (docs, odd):
