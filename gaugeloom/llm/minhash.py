@@ -6,7 +6,7 @@ circularly by k, gives coordinate k of the signature: min over elements of pi(si
 A node is a set of shingles, whatever documents have it. Nodes that share a band meet in a bucket.
 There each is compared with a leader, not with the others. What the leaders leave in different
 components goes through two passes by bucket, in tiles of bounded size: sketches tell which nodes have
-a possible partner in another component, and the full sets of these few are compared through an
+a possible partner in another component (a pair counts in the first bucket it shares), and the full sets of these few are compared through an
 inverted index, each tile giving no more links than it has nodes. All links are confirmed on the
 shingles of the texts themselves.
 """
@@ -174,24 +174,38 @@ def _sides(group: list[tuple]) -> tuple[list[tuple], list[tuple]] | None:
     return group, group
 
 
+def _tagged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, sketch, bands) to the same with tags instead of bands: 32 bits of each band's key."""
+    for b in batches:
+        tags = [(np.array(keys, np.int64) >> 7).astype(np.uint32).tobytes() for keys in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(tags, pa.binary())], ["node", "n", "sketch", "tags"])
+
+
 def _possible(percent: int):
-    """Rows (key, tile, home, two, node, label, n, sketch) to those nodes that may have a partner in another component."""
+    """Rows (key, tile, home, two, node, label, n, sketch, tags) to those nodes that may have a partner in another component.
+
+    Two nodes that share several bands meet in each of these buckets. Only the first of them counts; tags
+    tell whether there is an earlier one, wrongly with a probability of 2 ** -32 for a band.
+    """
     floor = percent / 100 - MARGIN
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, tile), group in _by_tile(batches, ["home", "two", "node", "label", "n", "sketch"]):
+        for (key, tile), group in _by_tile(batches, ["home", "two", "node", "label", "n", "sketch", "tags"]):
             if len({g[3] for g in group}) < 2 or (sides := _sides(group)) is None:
                 continue
             left, right = sides
+            band = key & 127
             codes = {x: i for i, x in enumerate({g[3] for g in group})}
             label = np.array([codes[g[3]] for g in right])
             size = np.array([g[4] for g in right], np.int64)
             sketch = np.frombuffer(b"".join(g[5] for g in right), np.uint8).reshape(len(right), -1)
+            tags = np.frombuffer(b"".join(g[6] for g in right), np.uint32).reshape(len(right), -1)[:, :band]
             hit_right, hit_left = np.zeros(len(right), bool), np.zeros(len(left), bool)
             for i, g in enumerate(left):
                 at = np.flatnonzero((label != codes[g[3]]) & (100 * np.minimum(size, g[4]) >= percent * np.maximum(size, g[4])))
                 if len(at):
                     near = at[(sketch[at] == np.frombuffer(g[5], np.uint8)).mean(axis=1) >= floor]
+                    near = near[~(tags[near] == np.frombuffer(g[6], np.uint32)[:band]).any(axis=1)]
                     hit_right[near] = True
                     hit_left[i] = len(near) > 0
             found = [g for g, h in zip(left, hit_left) if h]
@@ -344,7 +358,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = done.union(more)
         labels = components(links, nodes_in)
     open_ = _open_members(members, labels, 0)
-    facts = nodes.select("node", F.col("n_shingles").alias("n"), "sketch")
+    facts = nodes.select("node", F.col("n_shingles").alias("n"), "sketch", "bands").mapInArrow(_tagged, "node binary, n long, sketch binary, tags binary")
     dealt = C.stored(open_.select("key", "node", "label").join(facts, "node"), "minhash-dealt")
     sizes = dealt.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     dealt = dealt.join(C.stored(sizes, "minhash-tiles"), "key")
@@ -352,7 +366,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.least(t, F.col("home")) * F.col("tiles") + F.greatest(t, F.col("home")))
     dealt = dealt.withColumn("tile", F.explode(meets)).withColumn("two", F.floor(F.col("tile") / F.col("tiles")) != F.pmod("tile", F.col("tiles")))
     possible = (
-        dealt.select("key", "tile", "home", "two", "node", "label", "n", "sketch").repartition("key", "tile").sortWithinPartitions("key", "tile")
+        dealt.select("key", "tile", "home", "two", "node", "label", "n", "sketch", "tags").repartition("key", "tile").sortWithinPartitions("key", "tile")
         .mapInArrow(_possible(percent), "key long, tile int, home int, two boolean, node binary, label binary")
     )
     possible = C.stored(possible, "minhash-possible")

@@ -522,6 +522,25 @@ def test_near_dedup_large_group(spark, monkeypatch):
     assert sorted_rows(got.select("doc_id", "n_shingles", "component_id")) == near_brute(rows, 3, 85)
 
 
+def test_minhash_compares_a_pair_in_one_bucket(spark, monkeypatch):
+    stored, possible = common.stored, []
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "minhash-possible":
+            possible.append(out)
+        return out
+
+    monkeypatch.setattr(common, "stored", kept)
+    rows = []
+    for i in range(40):  # pairs of a similarity of 103 / 133, which share seven bands or so
+        words = [f"w{i}x{k}" for k in range(120)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join("new" if k % 20 == 15 and k < 110 else w for k, w in enumerate(words)))]
+    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85)
+    assert all(r.kept for r in got.collect())
+    assert 40 <= possible[0].count() <= 80
+
+
 def test_bands():
     for percent in (80, 85):
         n = minhash.bands_for(percent)
