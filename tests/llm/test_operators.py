@@ -4,6 +4,7 @@ import glob
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,6 +222,48 @@ def test_id_store_sends_a_word_to_the_library_once(monkeypatch):
         assert [ids.tolist() for ids in encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_id_store_calls_python_seldom_for_a_word():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("aeiounrstlé"), 9)) + m for m in ("", ",", ".", "!!") * 25) for _ in range(40)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = id_store.library_encoder(path)()
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = encode(texts)
+    finally:
+        sys.setprofile(None)
+    plain = Tokenizer.from_file(path)
+    assert [ids.tolist() for ids in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls < 0.5 * len({w for t in texts for w in t.split(" ")})
+
+
+def test_id_store_forgets_pieces(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["x the cat, dog.", "of x" + "y1" * 500 + " the", "", "cat the cat, of.\n\nthe"]
+    for name in ("CACHE", "CACHE_BYTES"):
+        monkeypatch.setattr(id_store, name, 2)
+        monkeypatch.setattr(id_store, "_ENCODERS", {})
+        encode = id_store.library_encoder(path)()
+        for some in (texts, texts[::-1], texts[:1]):
+            assert [ids.tolist() for ids in encode(some)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+        monkeypatch.undo()
+
+
+def test_cuts_in_a_row_are_those_of_each():
+    rng = np.random.default_rng(2)
+    rows = [rng.integers(0, 50000, n).astype(np.uint16) for n in (1, 15, 16, 17, 63, 64, 65, 5000, 1, 1024, 1025, 9000)]
+    ends = np.cumsum([len(r) for r in rows]).tolist()
+    got = id_store.cuts_in_a_row(np.concatenate(rows), ends)
+    assert [[e - (end - len(r)) for e in own] for own, r, end in zip(got, rows, ends)] == [id_store.cuts(r) for r in rows]
+
+
 def test_id_store(spark, docs, odd, none):
     encoder = id_store.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for table in (docs, odd):
