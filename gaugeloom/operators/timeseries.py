@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,13 +110,69 @@ def time_varying_fir(series: DataFrame, weights: list[float]) -> DataFrame:
     return series.withColumn("value", y)
 
 
+def _pairs(at: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all equal positions of two ascending arrays."""
+    low, high = np.searchsorted(other, at, "left"), np.searchsorted(other, at, "right")
+    i = np.repeat(np.arange(len(at)), high - low)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[i]
+
+
+def _correlations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation of each row of x with its row of y; 0 where one of them doesn't vary, or fewer than two places are known. nan: unknown."""
+    known = ~(np.isnan(x) | np.isnan(y))
+    n = np.maximum(known.sum(axis=1), 1)[:, None]
+    flat = lambda a: np.where(known, a, np.inf).min(axis=1) >= np.where(known, a, -np.inf).max(axis=1)
+    still = flat(x) | flat(y)
+    x, y = (np.where(known, a, 0.0) for a in (x, y))
+    x, y = (np.where(known, a - a.sum(axis=1, keepdims=True) / n, 0.0) for a in (x, y))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(still, 0.0, (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)))
+
+
+def _best_lags(max_lag: int, overlap: int):
+    """Best absolute correlation of each row's two series; rows whose positions are alike are one matrix."""
+
+    def run(batches):
+        for b in batches:
+            station, *sides = b.columns
+            told = []
+            for side in sides:
+                pos, value = side.flatten().flatten()
+                told.append((np.diff(side.offsets.to_numpy()), np.append(0, np.cumsum(np.diff(side.offsets.to_numpy()))), pos.to_numpy(zero_copy_only=False).astype(np.int64), value.to_numpy(zero_copy_only=False).astype(float), value.is_null().to_numpy(zero_copy_only=False)))
+            alike: dict[tuple[bytes, bytes], list[int]] = {}
+            for i in range(b.num_rows):
+                alike.setdefault(tuple(pos[start[i] : start[i + 1]].tobytes() for _, start, pos, _, _ in told), []).append(i)
+            best = np.full(b.num_rows, -1.0)
+            for rows in alike.values():
+                at = [pos[start[rows[0]] : start[rows[0] + 1]] for _, start, pos, _, _ in told]
+                lags = [(i, j) for i, j in (_pairs(at[0] + lag, at[1]) for lag in range(-max_lag, max_lag + 1)) if len(i) >= overlap]
+                few = max(1, (1 << 18) // max(map(len, at)))
+                for k in range(0, len(rows), few):
+                    some = np.array(rows[k : k + few])
+                    x, y = (value[start[some][:, None] + np.arange(len(p))] for p, (_, start, _, value, _) in zip(at, told))
+                    odd = [np.isnan(value[start[some][:, None] + np.arange(len(p))]) & ~null[start[some][:, None] + np.arange(len(p))] for p, (_, start, _, value, null) in zip(at, told)]
+                    top = best[some]
+                    for i, j in lags:
+                        c = np.abs(_correlations(x[:, i], y[:, j]))
+                        c[(odd[0][:, i] | odd[1][:, j]).any(axis=1)] = np.nan  # values that aren't numbers have no correlation
+                        top = np.maximum(top, c)
+                    best[some] = top
+            keep = np.flatnonzero(~(best < 0))
+            yield pa.RecordBatch.from_arrays([station.take(pa.array(keep)), pa.array(best[keep])], ["station_id", "best"])
+
+    return run
+
+
 def lagged_corr_gate(water: DataFrame, rain: DataFrame, max_lag: int = 24, least: float = 0.05, power: float = 2, overlap: int = 8) -> DataFrame:
-    """Best absolute correlation over lags and the gate least + (1 - least) * best ** power, by station."""
-    lagged = rain.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).select("station_id", "lag", (F.col("pos") - F.col("lag")).alias("pos"), F.col("value").alias("r"))
-    both = water.join(lagged, ["station_id", "pos"])
-    c = both.groupBy("station_id", "lag").agg(F.count(F.lit(1)).alias("n"), F.corr("value", "r").alias("c")).where(F.col("n") >= overlap)
-    best = F.max(F.abs(F.coalesce(F.col("c"), F.lit(0.0))))
-    return c.groupBy("station_id").agg(best.alias("best")).withColumn("gate", least + (1 - least) * F.pow("best", F.lit(power)))
+    """Best absolute correlation over lags and the gate least + (1 - least) * best ** power, by station.
+
+    A station's two series meet as one row, and lags are looked up in it; they aren't rows.
+    """
+    whole = lambda df, name: df.where("pos is not null").groupBy("station_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value")))).alias(name))
+    # Sizes of what comes out of exploded arrays aren't known, so neither side is broadcast.
+    both = whole(water, "water").join(whole(rain, "rain").hint("merge"), "station_id").select("station_id", "water", "rain")
+    best = both.mapInArrow(_best_lags(max_lag, overlap), f"station_id {water.schema['station_id'].dataType.simpleString()}, best double")
+    return best.withColumn("gate", least + (1 - least) * F.pow("best", F.lit(power)))
 
 
 def fir_table(series: DataFrame, weights: DataFrame) -> DataFrame:
