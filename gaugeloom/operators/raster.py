@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,19 +56,71 @@ def slope_degrees(cells: DataFrame, size: float = 1.0) -> DataFrame:
     return g.select("row", "col", F.degrees(F.atan(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))).alias("slope"))
 
 
+#: Cells of a tile's side: what meets in a task, with the cells around it.
+TILE = 128
+
+
+def _medians(side: int, half: int):
+    """Medians around the own cells of a tile; cells that are there twice count twice."""
+    wide = side + 2 * half
+
+    def run(key: tuple[pa.Scalar, ...], cells: pa.Table) -> pa.Table:
+        r0, c0 = key[0].as_py() * side - half, key[1].as_py() * side - half
+        row, col, own, seen = (cells.column(c).to_numpy() for c in ("row", "col", "own", "seen"))
+        null = cells.column("z").is_null().to_numpy()
+        z = cells.column("z").to_numpy()
+        y, x = row - r0, col - c0
+        mine = own & (y >= half) & (y < half + side) & (x >= half) & (x < half + side)
+        place = np.unique(y[mine] * wide + x[mine])
+        py, px = place // wide - half, place % wide - half
+        at = np.flatnonzero(seen)
+        at = at[np.argsort(y[at] * wide + x[at], kind="stable")]
+        where = y[at] * wide + x[at]
+        nth = np.arange(len(at)) - np.searchsorted(where, where)
+        around, there, known = [], 0, 0
+        window = lambda a: np.lib.stride_tricks.sliding_window_view(a.reshape(wide, wide), (2 * half + 1, 2 * half + 1))[py, px].reshape(len(place), (2 * half + 1) ** 2)
+        for k in range(int(nth.max(initial=-1)) + 1):  # one layer, unless cells repeat
+            i = nth == k
+            values, has, real = np.full(wide * wide, np.nan), np.zeros(wide * wide, bool), np.zeros(wide * wide, bool)
+            has[where[i]], real[where[i]] = True, ~null[at[i]]
+            values[where[i]] = np.where(null[at[i]], np.nan, z[at[i]])
+            around.append(window(values))
+            there, known = there + window(has).sum(axis=1), known + window(real).sum(axis=1)
+        if not around:
+            place, out, known = place[:0], np.zeros(0), np.zeros(0, int)
+        else:
+            ordered = np.sort(np.concatenate(around, axis=1), axis=1)  # what isn't there comes last
+            middle = (np.maximum(known, 1) - 1) / 2
+            low, high = (np.take_along_axis(ordered, f(middle).astype(int)[:, None], axis=1)[:, 0] for f in (np.floor, np.ceil))
+            ok = there > 0
+            place, out, known = place[ok], np.where(low == high, low, low / 2 + high / 2)[ok], known[ok]
+        return pa.table({"row": pa.array(place // wide + r0, pa.int32()), "col": pa.array(place % wide + c0, pa.int32()), "z": pa.array(out, pa.float64(), mask=known == 0)})
+
+    return run
+
+
 def median_filter(cells: DataFrame, size: int = 5) -> DataFrame:
-    """Median of size x size cells, the grid reflected at its border."""
-    n = stored(cells.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")), "raster-size")
-    h, w = n.first()
-    half = size // 2
-
-    def reflected(x, m):
-        return F.when(x < 0, -x - 1).when(x >= m, 2 * m - 1 - x).otherwise(x)
-
-    side = F.sequence(F.lit(-half), F.lit(half))
-    wide = cells.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(side).alias("dr")).withColumn("dc", F.explode(side))
-    wide = wide.select("r", "c", reflected(F.col("r") + F.col("dr"), h).alias("row"), reflected(F.col("c") + F.col("dc"), w).alias("col"))
-    return wide.join(cells, ["row", "col"]).groupBy("r", "c").agg(F.median("z").alias("z")).withColumnsRenamed({"r": "row", "c": "col"})
+    """Median of size x size cells, the grid (rows and columns from 0) reflected at its border.
+
+    A tile meets in one task with the cells around it, which stand at the place where they are seen; so a cell
+    is told to few tiles, not to each of the cells around it.
+    """
+    c, half = F.col, size // 2
+    e = cells.agg(*[f(v) for v in ("row", "col") for f in (F.min, F.max)]).first()
+
+    def places(v: str, least: int, most: int):
+        """Where a cell is seen along one side: at its own place, and mirrored at the border."""
+        x = c(v).cast("long")
+        seen = F.array(F.struct(x.alias("at"), F.lit(True).alias("own"), (x >= 0).alias("seen")), *[F.struct(y.alias("at"), F.lit(False).alias("own"), ok.alias("seen")) for y, ok in ((-x - 1, x >= 0), (2 * most + 1 - x, x <= most))])
+        return F.explode(F.filter(seen, lambda p: p["own"] | p["seen"] & p["at"].between(least - half, most + half)))
+
+    if e[0] is None or e[2] is None:
+        return cells.select("row", "col", c("z").cast("double").alias("z")).limit(0)
+    tiles = lambda at: F.explode(F.sequence(F.floor((at - half) / TILE), F.floor((at + half) / TILE)))
+    wide = cells.select(places("row", e[0], e[1]).alias("r"), "col", "z").select("r", places("col", e[2], e[3]).alias("c"), "z")
+    wide = wide.select(c("r.at").alias("row"), c("c.at").alias("col"), (c("r.own") & c("c.own")).alias("own"), (c("r.seen") & c("c.seen")).alias("seen"), c("z").cast("double").alias("z"))
+    wide = wide.withColumn("tr", tiles(c("row"))).withColumn("tc", tiles(c("col")))
+    return wide.groupBy("tr", "tc").applyInArrow(_medians(TILE, half), "row int, col int, z double")
 
 
 def d8_direction(cells: DataFrame) -> DataFrame:
