@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import ecef, point_segment_km
+from . import nearest
 from .supersteps import globally_ranked, stored
 
 
@@ -166,18 +166,14 @@ def order_by_coord_sum(stations: DataFrame) -> DataFrame:
 
 
 def line_within(points: DataFrame, lines: DataFrame, buffer_km: float, cell: float = 0.05) -> DataFrame:
-    """The nearest line (line_id, km) within a buffer of each point, null where there is none.
+    """The nearest line (line_id, km) within a buffer of each point, null where there is none (ties: the smaller line_id).
 
-    Segments (line_id, lat1, lon1, lat2, lon2) lie in all grid cells that their box, widened by the
-    buffer, touches; a point meets only the segments of its own cell. Widths are for latitudes up to 60.
+    Segments: line_id, lat1, lon1, lat2, lon2. A point meets the segments that cross the cells its buffer touches.
     """
-    wide = buffer_km / 55.0
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - wide) / cell), F.floor((F.greatest(a, b) + wide) / cell))
-    segments = lines.withColumn("cx", F.explode(span("lon1", "lon2"))).withColumn("cy", F.explode(span("lat1", "lat2")))
-    near = _in_cells(points.select("station_id", "lat", "lon"), cell).join(segments, ["cx", "cy"])
-    km = point_segment_km(ecef(F.col("lat"), F.col("lon")), ecef(F.col("lat1"), F.col("lon1")), ecef(F.col("lat2"), F.col("lon2")))
-    best = near.withColumn("km", km).where(F.col("km") <= buffer_km).groupBy("station_id").agg(F.min(F.struct("km", "line_id")).alias("b"))
-    return points.select("station_id").join(best, "station_id", "left").select("station_id", "b.line_id", "b.km")
+    dy, dx = nearest.box(F.lit(float(buffer_km)))
+    seg = stored(lines.select("line_id", "lat1", "lon1", "lat2", "lon2"), "within-lines")
+    best = nearest.nearest_in_boxes(points.select("station_id", "lat", "lon", dy.alias("dy"), dx.alias("dx")), seg, cell, "within")
+    return points.select("station_id").join(best.where(F.col("km") <= buffer_km), "station_id", "left")
 
 
 def kgrow(stations: DataFrame, seed: int, n: int, progress: list | None = None) -> DataFrame:
