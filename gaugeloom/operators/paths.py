@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import EARTH_KM, ecef, euclid, point_segment_km
+from ..functions.scalars import ecef, euclid, point_segment_km
+from . import nearest
 from .joins import knn_ref
 from .raster import line_cells
 from .supersteps import grow, stored
@@ -96,46 +97,14 @@ def snap_to_graph(points: DataFrame, nodes: DataFrame, edges: DataFrame, k: int
 def nearest_line(points: DataFrame, lines: DataFrame, cell: float = 0.05) -> DataFrame:
     """station_id, line_id, km of the nearest line (ties: the smaller id), however far; null where there are no lines.
 
-    lines: line_id, lat1, lon1, lat2, lon2. The nearest vertex bounds the distance; what lies in the box of that distance can be nearer.
-    Cells double from level to level: a segment lies in the at most four that its box touches at its own size, and a
-    point meets, at the level of its box, the few cells that hold anything, and then the segments of those that its
-    box touches. So a point far from a long coast meets the nearest stretch of it, not all of it. Not across 180 degrees.
+    lines: line_id, lat1, lon1, lat2, lon2. A near vertex bounds the distance; what crosses the box of that distance can be nearer.
+    So a point far from a long coast meets the stretch of it that comes into its box, and one among many long lines
+    those that cross its cell. Not across 180 degrees.
     """
-    c = F.col
     seg = stored(lines.select("line_id", "lat1", "lon1", "lat2", "lon2"), "nearest-lines")
-    wanted = points.select("station_id", "lat", "lon")
-    ends = seg.select(c("lat1").alias("lat"), c("lon1").alias("lon")).distinct()
-    ends = stored(ends.withColumn("station_id", F.monotonically_increasing_id()), "nearest-vertices")
-    first = knn_ref(wanted, ends, 1).select("station_id", "nb_id").join(ends.select(c("station_id").alias("nb_id"), c("lat").alias("e_lat"), c("lon").alias("e_lon")), "nb_id")
-    p, q = ecef(c("lat"), c("lon")), ecef(c("e_lat"), c("e_lon"))
-    bound = F.sqrt(sum((F.pow(p[x] - q[x], 2) for x in ("y", "z")), F.pow(p["x"] - q["x"], 2)))
-    angle = F.degrees(F.asin(F.least(bound / EARTH_KM, F.lit(1.0)))) * (1 + 1e-9) + 1e-9
-    high = F.least(F.abs("lat") + angle, F.lit(89.9))  # how wide a degree of longitude is at the box's end nearest to a pole
-    boxes = wanted.join(first, "station_id").select("station_id", "lat", "lon", angle.alias("dy"), F.least(angle / F.cos(F.radians(high)), F.lit(360.0)).alias("dx"))
-    level_of = lambda width: F.greatest(F.ceil(F.log2(F.greatest(width, F.lit(cell)) / cell)), F.lit(0)).cast("int")
-    boxes = stored(boxes.withColumn("own", level_of(2 * F.greatest("dx", "dy"))), "nearest-boxes")
-    # Segments are great circles: long ones bulge out of their box.
-    extent = F.greatest(F.abs(c("lat2") - c("lat1")), F.abs(c("lon2") - c("lon1")))
-    pad = extent * extent * 0.005
-    span = lambda v, size: F.explode(F.sequence(F.floor((F.least(f"{v}1", f"{v}2") - c("pad")) / size), F.floor((F.greatest(f"{v}1", f"{v}2") + c("pad")) / size)))
-    held = seg.withColumns({"pad": pad, "own": level_of(extent + 2 * pad)})
-    size = F.pow(F.lit(2.0), F.col("own")) * cell
-    held = stored(held.withColumn("size", size).withColumn("cx", span("lon", c("size"))).withColumn("cy", span("lat", c("size"))), "nearest-segments")
-    cells = stored(held.select("own", "cx", "cy").distinct(), "nearest-cells")
-    levels = sorted(r.own for r in cells.select("own").union(boxes.select("own")).distinct().collect())  # powers of two: a dozen or so
-    up = F.explode(F.filter(F.array(*map(F.lit, levels or [0])), lambda v: v >= c("own"))).alias("level")
-    shift = F.pow(F.lit(2.0), c("level") - c("own"))
-    upper = cells.select("own", "cx", "cy", up).select(c("own").alias("cell_level"), "cx", "cy", "level", F.floor(c("cx") / shift).alias("bx"), F.floor(c("cy") / shift).alias("by"))
-    block = F.pow(F.lit(2.0), c("level")) * cell
-    side = lambda v, d: F.explode(F.sequence(F.floor((c(v) - c(d)) / block), F.floor((c(v) + c(d)) / block)))
-    asked = boxes.select("*", up).withColumn("bx", side("lon", "dx")).withColumn("by", side("lat", "dy"))
-    wide = F.pow(F.lit(2.0), c("cell_level")) * cell
-    touches = [(c(i) * wide <= c(v) + c(d)) & ((c(i) + 1) * wide >= c(v) - c(d)) for i, v, d in (("cx", "lon", "dx"), ("cy", "lat", "dy"))]
-    met = asked.join(upper.hint("merge"), ["level", "bx", "by"]).where((F.greatest("own", "cell_level") == c("level")) & touches[0] & touches[1])
-    met = stored(met.select("station_id", "lat", "lon", c("cell_level").alias("own"), "cx", "cy"), "nearest-met")
-    km = point_segment_km(ecef(c("lat"), c("lon")), ecef(c("lat1"), c("lon1")), ecef(c("lat2"), c("lon2")))
-    best = met.join(held.hint("merge"), ["own", "cx", "cy"]).groupBy("station_id").agg(F.min(F.struct(km.alias("km"), "line_id")).alias("b"))
-    return wanted.select("station_id").join(best, "station_id", "left").select("station_id", "b.line_id", "b.km")
+    dy, dx = nearest.box(F.col("bound"))
+    boxes = nearest.bounded(points, seg).select("station_id", "lat", "lon", dy.alias("dy"), dx.alias("dx"))
+    return points.select("station_id").join(nearest.nearest_in_boxes(boxes, seg, cell, "nearest"), "station_id", "left")
 
 
 def dist_to_lines(points: DataFrame, lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from gaugeloom.operators import joins, nearest
+from gaugeloom.operators import joins, nearest, paths
 
 
 def crossing(spark, n, m):
@@ -52,3 +52,26 @@ def test_line_within_of_lines_that_cross(spark, monkeypatch, split):
         if lat is not None:
             km, line = brute(seg, lat, lon)
             assert got[i][0] == (line if km <= 1.0 else None) and (km > 1.0 or math.isclose(got[i][1], km, abs_tol=1e-9))
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_nearest_of_lines_that_cross(spark, monkeypatch, split):
+    """Against all pairs, among them points far off, in cells with few and with many points and segments."""
+    if split:
+        small_blocks(monkeypatch)
+    seg, spots, points, lines = crossing(spark, 300, 800)
+    got = {r.station_id: r for r in paths.nearest_line(points, lines).collect()}
+    assert got.keys() == {s[0] for s in spots} and got[-1].km is None
+    for i, lat, lon in spots:
+        if lat is not None:
+            km, line = brute(seg, lat, lon)
+            assert math.isclose(got[i].km, km, abs_tol=1e-9) and got[i].line_id == line
+
+
+def test_bounds_of_few_vertices(spark, monkeypatch):
+    """Vertices of a coarse grid stand for all: a bound is never less than the distance of the nearest vertex, nor more than a cell's width above it."""
+    monkeypatch.setattr(nearest, "STANDS", 64)
+    seg, spots, points, lines = crossing(spark, 300, 800)
+    got = {r.station_id: r.bound for r in nearest.bounded(points, lines).collect()}
+    ends = [(0, s[1], s[2], s[1], s[2]) for s in seg]
+    assert all(-1e-9 <= got[i] - brute(ends, lat, lon)[0] <= 111 / 8 * 2**0.5 + 1 for i, lat, lon in spots if lat is not None) and -1 not in got
