@@ -75,3 +75,13 @@ def test_bounds_of_few_vertices(spark, monkeypatch):
     got = {r.station_id: r.bound for r in nearest.bounded(points, lines).collect()}
     ends = [(0, s[1], s[2], s[1], s[2]) for s in seg]
     assert all(-1e-9 <= got[i] - brute(ends, lat, lon)[0] <= 111 / 8 * 2**0.5 + 1 for i, lat, lon in spots if lat is not None) and -1 not in got
+
+
+def test_dist_to_lines_that_cross(spark):
+    """The same distance in three units."""
+    seg, spots, points, lines = crossing(spark, 100, 400)
+    got = {r.station_id: r for r in paths.dist_to_lines(points, lines).collect()}
+    for i, lat, lon in spots:
+        if lat is not None:
+            km, _ = brute(seg, lat, lon)
+            assert math.isclose(got[i].m, km * 1000, abs_tol=1e-6) and math.isclose(got[i].km, km, abs_tol=1e-9) and math.isclose(got[i].km100, km / 100, abs_tol=1e-9)
