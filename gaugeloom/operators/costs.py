@@ -10,9 +10,9 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .raster import D8
 from .supersteps import stored
@@ -168,33 +168,70 @@ def building_costs(cells: DataFrame, start: tuple[int, int], ratio: float = 1.2,
     return cells.join(F.broadcast(limit)).select("row", "col", F.when(high, building).when(z < F.col("limit"), F.pow(z / 4, F.lit(2))).otherwise(F.pow(z, F.lit(2))).alias("cost"), high.alias("building"))  # limit: one row
 
 
-def rain_at_stations(cells: DataFrame, points: DataFrame, halves: tuple[int, ...] = (1, 2, 3, 4), window: str = "ref", whole: bool = False) -> DataFrame:
+#: Cells of a tile's side for windows, and hours of a group.
+WINDOW_TILE, HOURS = 64, 32
+
+
+def _windows(side: int, halves: tuple[int, ...], ref: bool):
+    """Sums around the places of a tile for the hours of a group."""
+    far = max(halves)
+    wide = side + 2 * far
+
+    def around(a: np.ndarray, low: int, high: int) -> np.ndarray:
+        for _ in range(2):  # rows, then columns: each sum is of cells alone, so no large sums cancel
+            n = a.shape[1] - 2 * far
+            a = sum((a[:, far + d : far + d + n] for d in range(low + 1, high + 1)), a[:, far + low : far + low + n]).swapaxes(1, 2)
+        return a
+
+    def run(key: tuple[pa.Scalar, ...], cells: pa.Table, places: pa.Table) -> pa.Table:
+        if not places.num_rows:
+            cells = cells.slice(0, 0)
+        r0, c0 = key[0].as_py() * side - far, key[1].as_py() * side - far
+        hour = cells.column("ts").combine_chunks().dictionary_encode("encode")
+        t, n = hour.indices.to_numpy(zero_copy_only=False), len(hour.dictionary)
+        at = t, cells.column("row").to_numpy() - r0, cells.column("col").to_numpy() - c0
+        known = ~cells.column("z").is_null().to_numpy()
+        z = cells.column("z").to_numpy()[known]
+        has, own = (np.zeros((n, wide, wide), bool) for _ in range(2))
+        total, most = np.zeros((n, wide, wide)), np.full((n, wide, wide), -np.inf)
+        has[at] = True
+        at = tuple(x[known] for x in at)
+        own[at] = True
+        np.add.at(total, at, z)
+        np.maximum.at(most, at, z)
+        row, col = (places.column(c).to_numpy() for c in ("row", "col"))
+        y, x = row - r0 - far, col - c0 - far
+        hours, place = np.nonzero((around(has.astype(np.int32), -far, far) > 0)[:, y, x])
+        told = {"ts": hour.dictionary.take(pa.array(hours)), "row": pa.array(row[place]), "col": pa.array(col[place])}
+        there = hours, y[place] + far, x[place] + far
+        told["r1x1"] = pa.array(most[there], mask=~own[there])
+        for h in halves:
+            told[f"r{2 * h + 1}x{2 * h + 1}"] = pa.array(around(total, -h, h - 1 if ref else h)[hours, y[place], x[place]])
+        return pa.table(told)
+
+    return run
+
+
+def rain_at_stations(cells: DataFrame, points: DataFrame, halves: tuple[int, ...] = (1, 2, 3, 4), window: str = "ref") -> DataFrame:
     """station_id, ts, r1x1, r3x3 and so on: the cell under each station and sums around it, for each hour.
 
     cells: ts, row, col, z; points: station_id, row, col. ref: windows of half h hold offsets -h .. h - 1; centered: -h .. h.
-    Cells that are missing, null or off the grid count as 0, and r1x1 is null there; a station far off the grid has no rows. Two running sums make a table
-    of sums over all cells up and left, in which a window of any size is four look-ups. whole: every hour has each cell
-    of the grid, so none need be filled in.
+    Cells that are missing, null or off the grid count as 0, and r1x1 is null there; a station has no row for an hour
+    without a cell as near as the largest half. Windows are summed once for a place, however many stations are there, by tiles with the cells around
+    them: a task holds a tile of some hours. A window is the sum of its own cells, not a difference of sums over many.
     """
-    c = F.col
-    box = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
-    r0, r1, c0, c1 = (0, -1, 0, -1) if box[0] is None else box
-    grid = cells.select("ts", "row", "col", "z")
-    if not whole:
-        side = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)) if a <= b else F.array().cast("array<int>"))
-        every = cells.select("ts").distinct().withColumn("row", side(r0, r1)).withColumn("col", side(c0, c1))
-        grid = every.join(grid, ["ts", "row", "col"], "left")
-    along = F.sum(F.coalesce("z", F.lit(0.0))).over(Window.partitionBy("ts", "row").orderBy("col"))
-    down = F.sum("line").over(Window.partitionBy("ts", "col").orderBy("row"))
-    sums = grid.withColumn("line", along).withColumn("s", down).select("ts", "row", "col", "z", "s")
-    corners = [F.struct(F.lit(0).alias("w"), F.lit(1).alias("sign"), c("row").alias("r"), c("col").alias("c"))]
-    for i, h in enumerate(halves, 1):
-        high = h - 1 if window == "ref" else h
-        top, left = c("row") - h - 1, c("col") - h - 1
-        low, right = F.least(c("row") + high, F.lit(r1)), F.least(c("col") + high, F.lit(c1))
-        corners += [F.struct(F.lit(i).alias("w"), F.lit(s).alias("sign"), F.least(a, F.lit(r1)).alias("r"), F.least(b, F.lit(c1)).alias("c")) for s, a, b in ((1, low, right), (-1, top, right), (-1, low, left), (1, top, left))]
-    at = points.select("station_id", F.explode(F.array(*corners)).alias("k")).select("station_id", c("k.w").alias("w"), c("k.sign").alias("sign"), c("k.r").alias("row"), c("k.c").alias("col"))
-    found = at.join(sums, ["row", "col"])
+    c, far = F.col, max(halves)
+    tile = lambda v: F.floor(v / WINDOW_TILE).cast("long")
+    blocks = max(1, math.ceil((cells.select("ts").distinct().count()) / HOURS))
+    spots = points.select(c("row").cast("long").alias("row"), c("col").cast("long").alias("col")).where("row is not null and col is not null").distinct()
+    spots = spots.select(tile(c("row")).alias("tr"), tile(c("col")).alias("tc"), "row", "col")
+    reach = lambda v: F.explode(F.sequence(tile(c(v) - far), tile(c(v) + far)))
+    held = cells.select("ts", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), c("z").cast("double").alias("z"), F.pmod(F.xxhash64("ts"), F.lit(blocks)).alias("block"))
+    held = held.withColumn("tr", reach("row")).withColumn("tc", reach("col"))
+    asked = spots.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     names = [f"r{2 * h + 1}x{2 * h + 1}" for h in halves]
-    told = found.groupBy("station_id", "ts").agg(F.max(F.when(c("w") == 0, c("z"))).alias("r1x1"), *[F.sum(F.when(c("w") == i, c("sign") * c("s"))).alias(n) for i, n in enumerate(names, 1)])
-    return told.select("station_id", "ts", "r1x1", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+    schema = f"ts {cells.schema['ts'].dataType.simpleString()}, row long, col long, r1x1 double, " + ", ".join(f"{n} double" for n in names)
+    keys = ["tr", "tc", "block"]
+    told = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_windows(WINDOW_TILE, halves, window == "ref"), schema)
+    # Sizes of what comes out of cells aren't known, so neither side is broadcast.
+    return points.select("station_id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col")).join(told.hint("merge"), ["row", "col"]).select("station_id", "ts", "r1x1", *names)

@@ -58,4 +58,4 @@ SELECT station_id, CAST(ts AS INT) AS ts, round(max(CASE WHEN h.row = p.row AND
 
 WINDOWS = ("r1x1", "r3x3", "r5x5", "r7x7", "r9x9")
 query("rain_windows", "cells", _rain_sql(" - 1"))(lambda s, d: rounded(costs.rain_at_stations(_hours(s, d), _points(s, d)), *WINDOWS))
-query("rain_windows_centered", "cells", _rain_sql(""))(lambda s, d: rounded(costs.rain_at_stations(_hours(s, d), _points(s, d), window="centered", whole=True), *WINDOWS))
+query("rain_windows_centered", "cells", _rain_sql(""))(lambda s, d: rounded(costs.rain_at_stations(_hours(s, d), _points(s, d), window="centered"), *WINDOWS))
