@@ -4,8 +4,11 @@ import math
 
 import pytest
 
+from __spark_entry__ import oracle_sql, queries
 from gaugeloom.operators import costs
 
+from . import oracle
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -39,3 +42,11 @@ def test_rain_windows_are_told_once_a_place(spark, window):
     """Stations join windows of places; nothing as long as stations times corners is made or broadcast."""
     plan = plan_of(rain(spark, window)[2])
     assert "Broadcast" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["rain_windows", "rain_windows_centered"])
+def test_rain_queries_of_a_partial_hour(spark, tmp_path, name):
+    """130 rows of cells: the second hour ends after 30; against the query's SQL."""
+    spark.createDataFrame([(i, [((i * 31 + k * 17) % 101 - 50) / 64 for k in range(64)], 0) for i in range(130)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "s", 1, 0.0) for i in range(120)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert not oracle.difference(queries()[name](spark, str(tmp_path)), oracle.connect(str(tmp_path)), oracle_sql()[name])
