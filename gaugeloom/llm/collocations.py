@@ -32,6 +32,8 @@ LETTERS = bytes.maketrans(f"ABCDEFGHIJKLMNOPQRSTUVWXYZ{ENDS}\t".encode(), ("abcd
 #: Characters of text of a shard, and those that are cut into words at once.
 SHARD_CHARS, SLICE = 3 << 20, 1 << 19
 LEAST, LONGEST, SHARE, TOP = 10, 3, 50, 2000
+#: Shards of a file: what a task holds of their table at once, however many it indexes.
+FILE_SHARDS = 4
 #: Shares of a language's phrases that are ranked apart before the last ranking.
 SHARES = 32
 INDEX_SCHEMA = "words array<string>, forward binary, backward binary"
@@ -298,7 +300,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     one without frequent phrases, gives an empty result. Texts may be of any length: one that exceeds a
     shard is a shard of its own. Numbers are exact below 10^15 occurrences. Other columns are ignored.
     """
-    shards = C.stored(index_shards(docs, text_col, lang_col), "phrase-shards")
+    shards = C.stored(index_shards(docs, text_col, lang_col), "phrase-shards", FILE_SHARDS)
     counts = C.stored(phrase_counts(shards, least, longest), "phrase-frequent")
     head = F.regexp_extract("phrase", r"(?s)^(.*\t)", 1)
     rows = counts.select("phrase", "f", head.alias("head")).withColumn("words", F.split(F.expr("substring(phrase, length(head) + 1)"), " "))

@@ -43,14 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, fixes what depends on the order of
     rows, and lets a later join shuffle both sides itself, which adaptive execution can then split.
+    file_rows: the most rows of a file, for rows of megabytes: a task's writer and reader hold a file's rows at once.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
