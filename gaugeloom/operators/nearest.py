@@ -14,7 +14,7 @@ from ..functions.scalars import EARTH_KM
 from .supersteps import stored
 
 #: Points and segments of a cell that meet in one task; a cell with more is split into blocks of both.
-POINTS, SEGMENTS = 20_000, 100_000
+POINTS, SEGMENTS = 20_000, 20_000
 #: Cells whose first vertices stand for all of them when distances are bounded; at most three times as many occur.
 STANDS = 1 << 14
 #: Pairs that are compared at once.
